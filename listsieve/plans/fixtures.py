@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listsieve.plans.runtime import widen
 from listsieve.profile import Bonus, Geography, Keyword, Profile
 
 NOW = "2024-06-01 00:00:00"
@@ -45,8 +46,12 @@ PROFILE = Profile(
 )
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widen(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def base_key() -> Column:

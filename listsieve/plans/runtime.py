@@ -1,4 +1,4 @@
-"""Session helpers: where lineage is cut."""
+"""Session helpers: where lineage is cut, and how a small input gets its tasks."""
 
 from __future__ import annotations
 
@@ -27,3 +27,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Store rows that several later steps read, on storage that outlives executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input that fits one scan task over the cores.
+
+    Costly text work on a few megabytes would run on a single core otherwise. An
+    input larger than one split is left as it lies, without a shuffle.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if ONE_TASK_BYTES < size <= split:
+        return df.repartition(spark.sparkContext.defaultParallelism, *keys)
+    return df
+
+
+#: Below this an input is not worth more than one task.
+ONE_TASK_BYTES = 1 << 20
