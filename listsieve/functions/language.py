@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listsieve.functions import lexicon as lx
-from listsieve.functions.text import _col, fold, once, quote
+from listsieve.functions.text import _col, any_marker, fold, once, quote
 
 
 class LanguageRule:
@@ -41,11 +41,15 @@ class LanguageRule:
         return F.struct(
             (_capped(text, self.kept_words) if self.kept_words else F.lit(0)).alias("kept"),
             strongest.alias("foreign"),
-            (
-                F.rlike(text, F.lit(_bounded(self.title_words))) if self.title_words else F.lit(False)
-            ).alias("title_word"),
+            self._titled(text).alias("title_word"),
         )
 
+    def _titled(self, text: Column) -> Column:
+        if not self.title_words:
+            return F.lit(False)
+        pattern = F.lit(_bounded(self.title_words))
+        return any_marker(text, self.title_words) & F.rlike(text, pattern)
+
     def verdict(self, text: Column, votes: Column) -> Column:
         """Is the text clearly in a language outside the keep list?"""
         if self.off:
@@ -78,8 +82,10 @@ def _bounded(words) -> str:
 
 
 def _capped(text: Column, words) -> Column:
-    # Both neighbours are part of a match, so words one space apart share it.
-    return F.least(F.regexp_count(text, F.lit(_bounded(words))), F.lit(lx.MAX_VOTES))
+    # Both neighbours are part of a match, so words one space apart share it. Most
+    # texts hold no word of most languages: a byte search settles those.
+    matches = F.regexp_count(text, F.lit(_bounded(words)))
+    return F.when(any_marker(text, words), F.least(matches, F.lit(lx.MAX_VOTES))).otherwise(0)
 
 
 def _mostly(text: Column, script: str) -> Column:

@@ -8,6 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- Fixed values -----------------------------------------------------------
 # Unicode white space, as one regex class (Java's \s alone is ASCII only).
@@ -58,7 +59,7 @@ def trim_space(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WHITE_SPACE}+|{WHITE_SPACE}+\\z", "")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _unescape_rare(texts: pa.Array) -> pa.Array:
     return pa.array(
         [None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string()
@@ -72,15 +73,24 @@ def unescape_html(text: Column) -> Column:
     NULL for them, so next to nothing crosses into Python for those rows.
     """
     frequent = "|".join(name[1:-1] for name in FREQUENT_ENTITIES)
-    rare = F.contains(text, F.lit("&")) & F.rlike(text, F.lit(f"&(?!(?:{frequent});)[#A-Za-z]"))
-    plain = text
-    for name, char in FREQUENT_ENTITIES.items():
-        plain = F.replace(plain, F.lit(name), F.lit(char))
-    return F.coalesce(_unescape_rare(F.when(rare, text)), plain)
+    pattern = F.lit(f"&(?!(?:{frequent});)[#A-Za-z]")
+    rare = once(text, lambda t: F.when(F.contains(t, F.lit("&")) & F.rlike(t, pattern), t))
+
+    def replaced(t: Column) -> Column:
+        plain = t
+        for name, char in FREQUENT_ENTITIES.items():
+            plain = F.replace(plain, F.lit(name), F.lit(char))
+        return F.when(F.contains(t, F.lit("&")), plain).otherwise(t)
+
+    return F.coalesce(_unescape_rare(rare), once(text, replaced))
 
 
 def strip_html(text) -> Column:
-    """Flatten an HTML fragment to one line of plain text."""
+    """Flatten an HTML fragment to one line of plain text.
+
+    Hand in a column of the frame rather than an expression with nested lambdas,
+    out of which Spark cannot lift a Python function.
+    """
     text = _col(text)
     for mark in ("<br>", "<br/>", "</p>"):
         text = F.replace(text, F.lit(mark), F.lit("\n"))
@@ -90,20 +100,23 @@ def strip_html(text) -> Column:
 
 def truncate(text, n: int) -> Column:
     """At most ``n`` bytes plus an ellipsis, never inside a character."""
-    text = _col(text)
-    raw = text.cast("binary")
 
-    def inside(k: int) -> Column:  # does byte k+1 continue a character?
-        return F.hex(F.substring(raw, k + 1, 1)).rlike("^[89AB]")
+    def cut(t: Column) -> Column:
+        raw = t.cast("binary")
 
-    size = (
-        F.when(~inside(n), n)
-        .when(~inside(n - 1), n - 1)
-        .when(~inside(n - 2), n - 2)
-        .otherwise(n - 3)
-    )
-    cut = F.substr(raw, F.lit(1), size).cast("string")
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(cut, F.lit(ELLIPSIS)))
+        def inside(k: int) -> Column:  # does byte k+1 continue a character?
+            return F.hex(F.substring(raw, k + 1, 1)).rlike("^[89AB]")
+
+        size = (
+            F.when(~inside(n), n)
+            .when(~inside(n - 1), n - 1)
+            .when(~inside(n - 2), n - 2)
+            .otherwise(n - 3)
+        )
+        head = F.substr(raw, F.lit(1), size).cast("string")
+        return F.when(F.octet_length(t) <= n, t).otherwise(F.concat(head, F.lit(ELLIPSIS)))
+
+    return once(_col(text), cut)
 
 
 def haystack(title, tags, description) -> Column:

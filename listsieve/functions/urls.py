@@ -5,148 +5,146 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listsieve.functions.text import _col, once
+from listsieve.functions.text import _col
 
 # ---- Fixed values -----------------------------------------------------------
 # Query keys that vary between fetches of one page (matched on the lower-cased key).
 TRACKING_KEY = r"^(utm_|mc_|_hs|(srsltid|gclid|fbclid|ref)\z)"
 # -----------------------------------------------------------------------------
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
-_HOST_CHAR = r"(?:[A-Za-z0-9\-_.~!$&'()*+,;=<>\"]|[^\x00-\x7f]|%25|%[89A-Fa-f][0-9A-Fa-f])"
-_BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
+_AUTHORITY = rf"^(?:{_SCHEME})?//([^/?#]*)"
+# What makes a URL unreadable, as alternatives of one pattern. Only plain character
+# classes are repeated, so that no input, however long, can exhaust the regex stack.
+_NAMED = rf"^(?:{_SCHEME}|(?!///))//"
+_BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
+_HOST = r"[A-Za-z0-9\-_.~!$&'()*+,;=<>\x22%\x{80}-\x{10FFFF}]"
+_UNREADABLE = "|".join(
+    [
+        r"[\x00-\x1f\x7f]",  # control characters
+        rf"^(?!{_SCHEME})[^/?#]*:",  # a colon in the first segment, but no scheme
+        rf"^(?:{_SCHEME}(?=/)|(?!{_SCHEME}))[^?#]*{_BAD_ESCAPE}",  # host or path
+        rf"^[^#]*#.*{_BAD_ESCAPE}",  # fragment
+        rf"{_NAMED}(?![^/?#]*@)(?!{_HOST}*+(?::{_HOST}*+)*?(?::[0-9]*+)?(?:[/?#]|\z))(?!\[)",
+        rf"{_NAMED}(?![A-Za-z0-9\-._:~!$&'()*+,;=%@]*@)[^/?#]*@",  # user
+        rf"{_NAMED}(?:[^/?#]*@)?[^/?#@]*:(?![0-9]*(?:[/?#]|\z))[^/?#@:\]]*(?:[/?#]|\z)",  # port
+        rf"{_NAMED}(?:[^/?#]*@)(?!{_HOST}*+(?::{_HOST}*+)*?(?:[/?#]|\z))(?!\[)[^/?#@]*(?:[/?#]|\z)",
+        rf"{_NAMED}(?:[^/?#]*@)?[^/?#@]*%(?!25|[89A-Fa-f])",  # escapes in the host
+        rf"{_NAMED}(?:[^/?#]*@)?\[(?![^\]/?#]*\](?::[0-9]*)?(?:[/?#]|\z))",  # IPv6
+    ]
+)
 
 
-def _parts(url: Column, use) -> Column:
-    """Cut a URL up once, and hand the struct of its pieces to ``use``."""
-    no_fragment = F.substring_index(url, "#", 1)
-    cut = F.struct(
-        url.alias("url"),
-        no_fragment.alias("no_fragment"),
-        F.substring_index(no_fragment, "?", 1).alias("base"),
-        F.regexp_extract(F.substring_index(no_fragment, "?", 1), _SCHEME, 0).alias("scheme"),
-    )
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and names it in ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    def with_rest(p: Column) -> Column:
-        return p.withField("rest", F.substr(p["base"], F.length(p["scheme"]) + 1))
 
-    def with_places(p: Column) -> Column:
-        rest = p["rest"]
-        # "///x" names a host only when a scheme came first.
-        named = F.startswith(rest, F.lit("//")) & (
-            (p["scheme"] != "") | ~F.startswith(rest, F.lit("///"))
-        )
-        opaque = (p["scheme"] != "") & (rest != "") & ~F.startswith(rest, F.lit("/"))
-        return (
-            p.withField("named", named)
-            .withField("opaque", opaque)
-            .withField("authority", F.when(named, F.regexp_extract(rest, "^//([^/]*)", 1)).otherwise(""))
-            .withField("path", F.when(named, F.regexp_replace(rest, "^//[^/]*", "")).otherwise(rest))
-        )
-
-    return once(cut, lambda a: once(with_rest(a), lambda b: once(with_places(b), use)))
-
-
-def _valid(p: Column) -> Column:
-    user = F.regexp_extract(p["authority"], "^(.*)@", 1)
-    name = F.regexp_replace(p["authority"], "^.*@", "")
-    host_ok = F.rlike(name, F.lit(rf"^{_HOST_CHAR}*+(?:(?::{_HOST_CHAR}*)*:\d*)?\z")) | F.rlike(
-        name, F.lit(r"^\[[^\]]*\](?::\d*)?\z")
-    )
-    user_ok = ~F.rlike(user, F.lit(_BAD_ESCAPE)) & F.rlike(
-        user, F.lit(r"^[A-Za-z0-9\-._:~!$&'()*+,;=%@]*\z")
-    )
-    colon_first = (p["scheme"] == "") & F.contains(
-        F.substring_index(p["rest"], "/", 1), F.lit(":")
-    )
-    fragment = F.substr(p["url"], F.length(p["no_fragment"]) + 2)
-    return (
-        ~F.rlike(p["url"], F.lit(r"[\x00-\x1f\x7f]"))
-        & ~colon_first
-        & (~p["named"] | (user_ok & host_ok))
-        & (p["opaque"] | ~F.rlike(p["path"], F.lit(_BAD_ESCAPE)))
-        & ~F.rlike(fragment, F.lit(_BAD_ESCAPE))
-    )
+def _r(pattern: str) -> str:
+    """A SQL string that takes every backslash as it stands."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def url_parses(url) -> Column:
-    """Would the URL parse: no control characters, bad escapes or bad hosts?"""
-    return _parts(_col(url), _valid)
+def _named(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _readable(url: str) -> str:
+    return f"NOT rlike({url}, {_r(_UNREADABLE)})"
+
+
+def _cut(url: str, body: str) -> str:
+    """``body`` with ``addr, base, scheme, rest, host, opaque, path`` of a URL.
+
+    ``addr`` is the URL without fragment, ``base`` also without query.
+    """
+    steps = [
+        ("u", url),
+        ("addr", "substring_index(u, '#', 1)"),
+        ("base", "substring_index(addr, '?', 1)"),
+        ("scheme", f"regexp_extract(base, {_r('^' + _SCHEME)}, 0)"),
+        ("rest", "substr(base, length(scheme) + 1)"),
+        # "///x" names a host only when a scheme came first.
+        ("host", "CASE WHEN startswith(rest, '//') AND (scheme <> '' OR NOT startswith(rest, '///')) "
+                 "THEN regexp_extract(rest, '^//[^/]*', 0) ELSE '' END"),
+        ("opaque", "scheme <> '' AND rest <> '' AND NOT startswith(rest, '/')"),
+        ("path", "substr(rest, length(host) + 1)"),
+    ]
+    for name, value in reversed(steps):
+        body = _let(name, value, body)
+    return body
 
 
-def _query_escape(text: Column) -> Column:
+def _form(text: str) -> str:
     """Form encoding that leaves ``~`` and encodes ``*``."""
-    out = F.url_encode(text)
-    return F.replace(F.replace(out, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    return f"replace(replace(url_encode({text}), '%7E', '~'), '*', '%2A')"
 
 
-def _escape_keeping(text: Column, keep: str) -> Column:
-    """Percent-encode everything but unreserved characters and ``keep``."""
-    out = F.replace(_query_escape(text), F.lit("+"), F.lit("%20"))
+def _escaped(text: str, keep: str) -> str:
+    """Percent-encoding of all but unreserved characters and ``keep``."""
+    out = f"replace({_form(text)}, '+', '%20')"
     for char in keep:
-        out = F.replace(out, F.lit(f"%{ord(char):02X}"), F.lit(char))
+        out = f"replace({out}, '%{ord(char):02X}', {_r(char)})"
     return out
 
 
-def _clean_path(path: Column) -> Column:
-    """A path that is already valid stays as written; any other is re-encoded."""
-    valid = F.rlike(path, F.lit(r"^[A-Za-z0-9\-_.~$&+,/:;=@!'()*\[\]%]*\z"))
-    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return F.when(valid, path).otherwise(F.coalesce(_escape_keeping(decoded, "$&+,/:;=@"), path))
+def _decoded(path: str) -> str:
+    return f"coalesce(try_url_decode(replace({path}, '+', '%2B')), {path})"
 
 
-def _clean_authority(authority: Column) -> Column:
-    return F.when(F.rlike(authority, F.lit(r"^[\x00-\x7f]*\z")), authority).otherwise(
-        _escape_keeping(authority, "!$&'()*+,;=:[]<>\"@%")
-    )
+_PATH_KEEPS, _HOST_KEEPS = "$&+,/:;=@", "!$&()*+,;=:[]<>@%/"
+_VALID_PATH = r"^[A-Za-z0-9\-_.~$&+,/:;=@!\x27()*\[\]%]*\z"
 
 
-def clean_query(query: Column) -> Column:
-    """Drop tracking keys, sort by key; the values of one key keep their order."""
-    pairs = F.transform(
-        F.split(query, "&"),
-        lambda pair, i: F.struct(
-            F.try_url_decode(F.substring_index(pair, "=", 1)).alias("key"),
-            i.alias("i"),
-            F.try_url_decode(
-                F.when(F.contains(pair, F.lit("=")), F.regexp_replace(pair, "^[^=]*=", "")).otherwise("")
-            ).alias("value"),
-            pair.alias("pair"),
-        ),
-    )
-    kept = F.filter(
-        pairs,
-        lambda p: (p["pair"] != "")
-        & ~F.contains(p["pair"], F.lit(";"))
-        & p["key"].isNotNull()
-        & p["value"].isNotNull()
-        & ~F.rlike(F.lower(p["key"]), F.lit(TRACKING_KEY)),
+def _query(text: str) -> str:
+    """Tracking keys dropped, sorted by key; values of one key keep their order."""
+    value = "CASE WHEN contains(pair, '=') THEN substr(pair, instr(pair, '=') + 1) ELSE '' END"
+    pairs = (
+        f"transform(split({text}, '&'), (pair, i) -> named_struct("
+        f"'key', try_url_decode(substring_index(pair, '=', 1)), 'i', i, "
+        f"'value', try_url_decode({value}), 'pair', pair))"
     )
-    encoded = F.transform(
-        F.array_sort(kept),
-        lambda p: F.concat(_query_escape(p["key"]), F.lit("="), _query_escape(p["value"])),
+    kept = (
+        f"filter({pairs}, p -> p.pair <> '' AND NOT contains(p.pair, ';') AND p.key IS NOT NULL "
+        f"AND p.value IS NOT NULL AND NOT rlike(lower(p.key), {_r(TRACKING_KEY)}))"
     )
-    return F.array_join(encoded, "&")
+    coded = f"transform(array_sort({kept}), p -> concat({_form('p.key')}, '=', {_form('p.value')}))"
+    return f"array_join({coded}, '&')"
 
 
-def _normal(p: Column) -> Column:
-    slashes = F.when(p["named"], F.concat(F.lit("//"), _clean_authority(p["authority"]))).otherwise("")
-    body = F.when(p["opaque"], p["rest"]).otherwise(F.concat(slashes, _clean_path(p["path"])))
-    asked = F.contains(p["no_fragment"], F.lit("?"))
-    query = F.substr(p["no_fragment"], F.length(p["base"]) + 2)
-    cleaned = F.when(asked & (query != ""), clean_query(query)).otherwise("")
+def url_parses(url: str) -> Column:
+    """Would the URL parse: no control characters, bad escapes or bad hosts?"""
+    return F.expr(_readable(_named(url)))
+
+
+def normalize_url(url: str) -> Column:
+    """One spelling per page: no fragment, no tracking keys, sorted query.
+
+    A path that is already valid stays as written, any other is re-encoded; a URL
+    that does not parse is left alone. The whole is one SQL expression over a
+    column name, which Spark reads in one go.
+    """
+    host = f"CASE WHEN rlike(host, {_r('^[ -~]*$')}) THEN host ELSE {_escaped('host', _HOST_KEEPS)} END"
+    path = f"CASE WHEN rlike(path, {_r(_VALID_PATH)}) THEN path ELSE {_escaped(_decoded('path'), _PATH_KEEPS)} END"
+    body = f"CASE WHEN opaque THEN rest ELSE concat({host}, {path}) END"
+    asked = "substr(addr, length(base) + 2)"
     # A bare "?" at the end, the only one in the URL, is part of the address.
-    tail = once(
-        cleaned,
-        lambda q: F.when(q != "", F.concat(F.lit("?"), q)).when(asked & (query == ""), "?").otherwise(""),
+    tail = (
+        "CASE WHEN asked <> '' THEN "
+        + _let("q", _query("asked"), "CASE WHEN q <> '' THEN concat('?', q) ELSE '' END")
+        + " WHEN endswith(addr, '?') THEN '?' ELSE '' END"
     )
-    return F.when(_valid(p), F.concat(F.lower(p["scheme"]), body, tail)).otherwise(p["url"])
+    normal = _let("asked", asked, f"concat(lower(scheme), {body}, {tail})")
+    name = _named(url)
+    return F.expr(f"CASE WHEN {_readable(name)} THEN {_cut(name, normal)} ELSE {name} END")
 
 
-def normalize_url(url) -> Column:
-    """One spelling per page: no fragment, no tracking keys, sorted query."""
-    return _parts(_col(url), _normal)
+def last_path_segment(url: str) -> Column:
+    """Text after the last slash of the path; one trailing slash is ignored."""
+    name = _named(url)
+    path = _cut(name, f"CASE WHEN opaque THEN '' ELSE {_decoded('path')} END")
+    text = f"CASE WHEN {_readable(name)} THEN {path} ELSE {name} END"
+    return F.expr(f"substring_index(regexp_replace({text}, '/$', ''), '/', -1)")
 
 
 def host(url) -> Column:
@@ -162,18 +160,6 @@ def bare_host(url) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 
 
-def last_path_segment(url) -> Column:
-    """Text after the last slash of the path; one trailing slash is ignored."""
-
-    def segment(p: Column) -> Column:
-        path = F.when(p["opaque"], "").otherwise(p["path"])
-        decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
-        text = F.when(_valid(p), decoded).otherwise(p["url"])
-        return F.substring_index(F.regexp_replace(text, r"/\z", ""), "/", -1)
-
-    return _parts(_col(url), segment)
-
-
 def absolute_url(href, base: str) -> Column:
     href = _col(href)
     return F.when(F.startswith(href, F.lit("/")), F.concat(F.lit(base), href)).otherwise(href)

@@ -79,7 +79,7 @@ def _spread(df: DataFrame) -> list[str]:
     return list(df.columns)
 
 
-def skipped_by(url: Column, domains) -> Column:
+def skipped_by(url: str, domains) -> Column:
     """Unparsable, or the host contains one of the strings."""
     name = F.lower(urls.host(url))
     hit = ~urls.url_parses(url)
@@ -96,7 +96,7 @@ def skip_domains(df: DataFrame, domains, url_col: str = "url") -> DataFrame:
     host is tested once and the verdict is joined back by host.
     """
     if not isinstance(domains, DataFrame):
-        return df.filter(~skipped_by(F.col(url_col), domains))
+        return df.filter(~skipped_by(url_col, domains))
     named = df.withColumn("__host", F.lower(urls.host(url_col))).filter(urls.url_parses(url_col))
     hosts = named.select("__host").distinct()
     # Substrings of a host, each once: an equi-join on them replaces the theta join.

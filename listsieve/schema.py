@@ -138,5 +138,7 @@ def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     the columns come out of one that yields exactly one row.
     """
     kept = [c for c in df.columns if c not in columns]
-    values = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*kept, F.inline(F.array(values)))
+    names = {name: f"__settled_{i}" for i, name in enumerate(columns)}
+    computed = df.select("*", *[value.alias(names[name]) for name, value in columns.items()])
+    values = F.struct(*[F.col(names[name]).alias(name) for name in columns])
+    return computed.select(*kept, F.inline(F.array(values)))

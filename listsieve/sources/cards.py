@@ -12,6 +12,7 @@ from listsieve.functions.text import (
     badge_to_location,
     cap_array,
     junk_tag,
+    once,
     remote_suffix,
     strip_html,
     trim_space,
@@ -71,7 +72,7 @@ def full_card(card: Column) -> dict[str, Column]:
     """The whole ad is in the card, collapsed; a cut copy is shown."""
     whole = h.text_of(card, h.first(h.find(card, css="js-original-text")))
     cut = h.text_of(card, h.first(h.find(card, css="js-truncated-text")))
-    description = F.when(trim_space(whole) == "", cut).otherwise(whole)
+    description = once(whole, lambda text: F.when(trim_space(text) == "", cut).otherwise(text))
     place = _text(card, css="location-text")
     badges = h.find(card, css="badge", within=("", "job-item__tags"))
     stamps = F.filter(
@@ -84,23 +85,25 @@ def full_card(card: Column) -> dict[str, Column]:
         "location": remote_suffix(place, h.text_of(card, F.element_at(card, 1))),
         "url": urls.absolute_url(link, FULL_BASE),
         "tags": F.array_distinct(cap_array(_texts(card, badges), MAX_TAGS)),
-        "description": truncate(strip_html(description), FULL_DESCRIPTION_BYTES),
+        "description": description,
         "posted_at": dates.parse_card_stamp(h.first(stamps)),
     }
 
 
 def read_full_cards(raw: DataFrame, name: str = "djinni") -> DataFrame:
-    return extract_cards(raw, name, *FULL_CARD, full_card)
+    ads = extract_cards(raw, name, *FULL_CARD, full_card)
+    # On the extracted column: Python functions do not mix with nested lambdas.
+    return ads.withColumn("description", truncate(strip_html("description"), FULL_DESCRIPTION_BYTES))
 
 
 def title_card(card: Column) -> dict[str, Column]:
     """Title, company and a workplace badge; the page's category is the text."""
     link = h.attr(h.first(h.find(card, "a", "overlay-link")), "href")
-    badge = h.attr(h.first(h.find(card, css="badge")), "css")
+    badge = F.array_join(h.first(h.find(card, css="badge"))["css"], " ")
     return {
         "title": _text(card, css="job-title"),
         "company": _text(card, css="company-name"),
-        "location": badge_to_location(badge, TITLE_PLACE),
+        "location": badge_to_location(F.coalesce(badge, F.lit("")), TITLE_PLACE),
         "url": urls.rewrite_mirror(link, TITLE_ORIGIN, TITLE_MIRROR),
         "description": urls.last_path_segment("page_url"),
     }
@@ -110,23 +113,29 @@ def read_title_cards(raw: DataFrame, name: str = "devbg") -> DataFrame:
     return extract_cards(raw, name, *TITLE_CARD, title_card)
 
 
-def _climb(nodes: Column, link: Column) -> Column:
-    """The nearest ancestor that holds a paragraph, else the last one looked at."""
-    chain = [F.try_element_at(nodes, F.nullif(link["up"], F.lit(0)))]
-    for _ in range(MAX_CLIMB):
-        chain.append(F.try_element_at(nodes, F.nullif(chain[-1]["up"], F.lit(0))))
+def _climb(links: DataFrame) -> DataFrame:
+    """Add ``outer``: the nearest ancestor of the link that holds a paragraph, else
+    the last one looked at. One narrow column per step up."""
+    steps = ["col"]
+    for i in range(MAX_CLIMB + 1):
+        parent = F.try_element_at("nodes", F.nullif(F.col(steps[-1])["up"], F.lit(0)))
+        links = links.withColumn(f"up{i}", parent)
+        steps.append(f"up{i}")
+    paragraphs = F.filter("nodes", lambda n: n["tag"] == "p")["id"]
+    links = links.withColumn("paragraphs", paragraphs)
 
-    def has_paragraph(node: Column) -> Column:
-        return F.exists(h.subtree(nodes, node), lambda n: (n["tag"] == "p") & h.inside(n, node))
+    def holds(step: str) -> Column:
+        node = F.col(step)
+        return F.exists("paragraphs", lambda at: (at > node["id"]) & (at <= node["last"]))
 
-    chosen = [F.when(has_paragraph(node), node) for node in chain[:-1]]
-    return F.coalesce(*chosen, chain[-1])
+    chosen = [F.when(holds(step), F.col(step)) for step in steps[1:-1]]
+    return links.withColumn("outer", F.coalesce(*chosen, F.col(steps[-1])))
 
 
 def read_link_cards(raw: DataFrame, name: str = "justjoin") -> DataFrame:
     """Title links; the card is an ancestor, and its short texts are the tags."""
     links = cards(raw, *LINK_CARD)
-    placed = links.withColumn("outer", _climb(F.col("nodes"), F.col("col"))).select(
+    placed = _climb(links).select(
         "page_url",
         "seq",
         "pos",

@@ -14,13 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listsieve.functions.text import once
+
 NODE = T.StructType(
     [
         T.StructField("id", T.IntegerType()),  # position in the array, from 1
         T.StructField("last", T.IntegerType()),  # id of the last node inside
         T.StructField("up", T.IntegerType()),  # id of the parent, 0 at the top
         T.StructField("tag", T.StringType()),  # '' for text
-        T.StructField("css", T.StringType()),  # class attribute
+        T.StructField("css", T.ArrayType(T.StringType())),  # classes
         T.StructField("href", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField("text", T.StringType()),
@@ -30,7 +32,8 @@ NODE = T.StructType(
 _ARROW = pa.list_(
     pa.struct(
         [("id", pa.int32()), ("last", pa.int32()), ("up", pa.int32())]
-        + [(name, pa.string()) for name in ("tag", "css", "href", "title", "text")]
+        + [("tag", pa.string()), ("css", pa.list_(pa.string()))]
+        + [(name, pa.string()) for name in ("href", "title", "text")]
         + [("leaf", pa.bool_())]
     )
 )
@@ -70,7 +73,7 @@ class _Nodes(HTMLParser):
                 "last": len(self.nodes) + 1,
                 "up": self.open[-1]["id"] if self.open else 0,
                 "tag": tag,
-                "css": attrs.get("class"),
+                "css": attrs["class"].split() if "class" in attrs else None,
                 "href": attrs.get("href"),
                 "title": attrs.get("title"),
                 "text": text,
@@ -135,7 +138,7 @@ def is_a(node: Column, tag: str = "", css: str = "") -> Column:
     if tag:
         test = node["tag"] == tag
     if css:
-        test = test & F.array_contains(F.split(F.coalesce(node["css"], F.lit("")), r"\s+"), css)
+        test = test & F.coalesce(F.array_contains(node["css"], css), F.lit(False))
     return test
 
 
@@ -146,10 +149,9 @@ def inside(node: Column, outer: Column) -> Column:
 def find(scope: Column, tag: str = "", css: str = "", within: tuple[str, str] | None = None) -> Column:
     """Nodes of a card other than the card itself, in document order. ``within``
     asks for an ancestor with that tag and class, which may be the card."""
-    card = F.element_at(scope, 1)
 
-    def test(node: Column) -> Column:
-        ok = is_a(node, tag, css) & (node["id"] != card["id"])
+    def test(node: Column, i: Column) -> Column:
+        ok = (i > 0) & is_a(node, tag, css)
         if within is not None:
             ok = ok & F.exists(scope, lambda outer: is_a(outer, *within) & inside(node, outer))
         return ok
@@ -163,8 +165,12 @@ def first(found: Column) -> Column:
 
 def text_of(scope: Column, node: Column) -> Column:
     """All text inside the node, '' when there is no such node."""
-    texts = F.filter(scope, lambda n: (n["tag"] == "") & inside(n, node))
-    return F.coalesce(F.array_join(F.transform(texts, lambda n: n["text"]), ""), F.lit(""))
+
+    def joined(outer: Column) -> Column:
+        texts = F.filter(scope, lambda n: (n["tag"] == "") & inside(n, outer))
+        return F.array_join(texts["text"], "")
+
+    return F.coalesce(once(node, joined), F.lit(""))
 
 
 def attr(node: Column, name: str) -> Column:

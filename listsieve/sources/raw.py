@@ -78,11 +78,17 @@ def is_bad(parsed: str) -> Column:
 
 
 def finish(items: DataFrame, name: str, columns: dict[str, Column]) -> DataFrame:
-    """Project exploded elements (``seq, page_url, pos``) to the ads schema."""
+    """Project exploded elements (``seq, page_url, pos``) to the ads schema.
+
+    The fields are settled, so that the filters which follow do not extract them
+    from the page a second time.
+    """
     where = sc.arrival(0, F.col("seq"), F.col("page_url"), F.col("pos"))
-    named = [value.alias(field) for field, value in columns.items()]
-    picked = items.select(F.lit(name).alias("source"), *named, where.alias("arrival"))
-    return sc.conform(picked, sc.ADS)
+    given = {"source": F.lit(name), **columns, "arrival": where}
+    filled = {
+        f.name: sc.fill(f, given.get(f.name, F.lit(None))) for f in sc.ADS.fields
+    }
+    return sc.settle(items, filled).select(*sc.ADS.names)
 
 
 def present(ads: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listsieve.functions import dates
 from listsieve.functions.text import post_header, strip_html, truncate
+from listsieve.schema import settle
 from listsieve.sources.raw import finish, is_bad, parse_json
 
 # ---- Fixed values -----------------------------------------------------------
@@ -62,7 +63,7 @@ def posts_to_ads(
     posts: DataFrame, require: str = "", name: str = "hackernews", url_prefix: str = POST_URL
 ) -> DataFrame:
     """Posts to ads: plain text, non-empty, holding ``require``, split by header."""
-    plain = posts.withColumn("plain", strip_html("text"))
+    plain = settle(posts, {"plain": strip_html("text")})
     kept = plain.filter(
         (F.col("plain") != "") & F.contains(F.lower("plain"), F.lit(require.lower()))
     )
