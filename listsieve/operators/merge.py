@@ -95,9 +95,8 @@ def merge_state(
         .join(suppressed, "id", "left")
         .select("id", "last", "flags", "any_hidden", "suppressed", F.lit(True).alias("in_batch"))
     )
-    old = sc.conform(state, sc.STATE).select(
-        "id", F.struct(*[f.name for f in sc.STATE.fields[1:]]).alias("old")
-    )
+    # The id stays the bare column the state is bucketed by, so no row of it moves.
+    old = state.select("id", F.struct(*sc.filled(state, sc.STATE.fields[1:])).alias("old"))
     joined = old.join(incoming, "id", "full_outer")
     is_new = F.col("old").isNull()
 

@@ -95,23 +95,21 @@ def fill(field: T.StructField, value: Column) -> Column:
     return value if default is None else F.coalesce(value, F.expr(default))
 
 
+def filled(df: DataFrame, fields: list[T.StructField]) -> list[Column]:
+    """One column per field, from the frame where it has it."""
+    present = set(df.columns)
+    given = [F.col(f.name) if f.name in present else F.lit(None) for f in fields]
+    return [fill(f, value).alias(f.name) for f, value in zip(fields, given)]
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the schema's columns, in its order; absent ones get empty values."""
-    present = set(df.columns)
-    return df.select(
-        *[
-            fill(f, F.col(f.name) if f.name in present else F.lit(None)).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    return df.select(*filled(df, schema.fields))
 
 
 def conform_keep(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """Fill in ``fields`` and leave every other column alone."""
-    present = set(df.columns)
-    return df.withColumns(
-        {f.name: fill(f, F.col(f.name) if f.name in present else F.lit(None)) for f in fields}
-    )
+    return df.withColumns({f.name: c for f, c in zip(fields, filled(df, fields))})
 
 
 def arrival(source_ord: int | Column = 0, page_seq=None, page_url=None, pos=None) -> Column:
