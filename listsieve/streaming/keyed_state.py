@@ -4,6 +4,10 @@ Input rows are sightings ``(id, seen_at, hidden, status)``; a row with a status
 sets it ('' clears it), one without is only a sighting. Output is one row per
 sighting telling whether the id was new. A timer per id drops its state once it
 has gone unseen for the retention time, unless it is tracked by then.
+
+All sightings of one id pass through one task, in order. Where single ids may be
+very frequent, the micro-batch run is the better choice: it collapses repeats
+before they are shuffled.
 """
 
 from __future__ import annotations
@@ -54,35 +58,36 @@ class Freshness(StatefulProcessor):
         self.handle = handle
         self.value = handle.getValueState("listing", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seen_at", kind="stable")
-        first = last = None
-        hidden, status = False, ""
-        if self.value.exists():
-            first, last, hidden, status = self.value.get()
-        out = []
-        for row in batch.itertuples(index=False):
-            seen = _ms(row.seen_at)
-            if first is not None and not status and seen - last > self.keep_ms:
-                first, hidden = None, False  # gone stale between two sightings
-            new = first is None
-            first = seen if new else first
-            last = seen if new else max(last, seen)
-            hidden = bool(hidden or row.hidden)
-            if row.status is not None and not pd.isna(row.status):
-                status = row.status
-            out.append((key[0], _time(first), _time(last), hidden, status, new and not hidden))
-        self.value.update((first, last, hidden, status))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        entry = self.value.get() if self.value.exists() else (None, None, False, "")
+        # Chunk by chunk as they come in: an id seen very often is never held whole.
+        for chunk in rows:
+            out = []
+            for row in chunk.itertuples(index=False):
+                entry, fresh = self._sighted(entry, row)
+                first, last, hidden, status = entry
+                out.append((key[0], _time(first), _time(last), hidden, status, fresh))
+            yield pd.DataFrame(out, columns=OUTPUT.names)
+        self.value.update(entry)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + self.keep_ms + 1)
-        yield pd.DataFrame(out, columns=OUTPUT.names)
-
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        if self.value.exists():
-            first, last, hidden, status = self.value.get()
-            if not status:
-                self.value.clear()
+        self.handle.registerTimer(entry[1] + self.keep_ms + 1)
+
+    def _sighted(self, entry, row):
+        first, last, hidden, status = entry
+        seen = _ms(row.seen_at)
+        if first is not None and not status and seen - last > self.keep_ms:
+            first, hidden = None, False  # gone stale between two sightings
+        new = first is None
+        first, last = (seen, seen) if new else (first, max(last, seen))
+        hidden = bool(hidden or row.hidden)
+        if row.status is not None and not pd.isna(row.status):
+            status = row.status
+        return (first, last, hidden, status), new and not hidden
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.value.exists() and not self.value.get()[3]:
+            self.value.clear()
         return iter([])
 
     def close(self) -> None:
