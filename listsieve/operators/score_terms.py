@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listsieve.functions.text import fold
 from listsieve.operators.lookup import salted_join
+from listsieve.schema import settle
 
 #: A term table up to this size is broadcast; beyond it tokens meet terms by shuffle.
 BROADCAST_TERMS = 200_000
@@ -19,54 +20,51 @@ def score_token_join(
     terms: DataFrame,
     key: str = "id",
     text: str = "text",
-    term_rows: int | None = None,
+    broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
     """``(key, score, reasons)`` for ads with at least one matching term.
 
-    ``terms`` has ``ord, term, weight``. A term's first token finds the candidate
-    ads; terms that are more than that one token are then looked for literally,
-    with the same boundaries the regex form has. ``term_rows`` is the size of the
-    term table; it is counted when not given, and decides between broadcast and
-    a salted shuffle. Terms need at least one ASCII letter or digit.
+    ``terms`` has ``ord, term, weight``, with ``ord`` unique. A term's first token finds the candidate
+    ads; terms that are more than that one token are then tested in full, with the
+    boundaries the regex form has. Terms need an ASCII letter or digit. ``key``
+    must be unique. The term table is counted first: a small one is broadcast, a
+    larger one meets the tokens in a shuffle salted against frequent words.
     """
     term = fold("term")
-    first_word = F.regexp_extract(term, "[a-z0-9]+", 0)
+    plain = F.rlike(term, F.lit("^[a-z0-9]+$"))
+    pattern = F.concat(
+        F.lit("(^|[^a-z0-9])"),
+        F.regexp_replace(term, r"([\p{Punct}])", r"\\$1"),
+        F.lit("($|[^a-z0-9])"),
+    )
     terms = terms.select(
-        F.col("ord"),
-        F.col("term").alias("reason"),
-        F.when(F.col("weight") == 0, 1).otherwise(F.col("weight")).cast("int").alias("weight"),
-        first_word.alias("token"),
-        F.rlike(term, F.lit("^[a-z0-9]+$")).alias("__plain"),
-        F.concat(
-            F.lit("(^|[^a-z0-9])"),
-            F.regexp_replace(term, r"([\p{Punct}])", r"\\$1"),
-            F.lit("($|[^a-z0-9])"),
-        ).alias("__pattern"),
+        F.regexp_extract(term, "[a-z0-9]+", 0).alias("token"),
+        F.struct(
+            F.col("ord"),
+            F.col("term").alias("reason"),
+            F.when(F.col("weight") == 0, 1).otherwise(F.col("weight")).cast("int").alias("weight"),
+            F.when(~plain, term).alias("term"),
+            F.when(~plain, pattern).alias("pattern"),
+        ).alias("hit"),
     ).filter(F.col("token") != "")
-    if term_rows is None:
-        term_rows = terms.count()
+    rows, longer = terms.agg(F.count(F.lit(1)), F.count("hit.pattern")).first()
 
     hay = ads.select(F.col(key), fold(text).alias("__hay"))
-    tokens = F.explode(F.array_distinct(F.split("__hay", _WORD)))
-    plain = hay.select(key, tokens.alias("token")).filter(F.col("token") != "")
-    hits = _meet(plain, terms.filter("__plain"), key, term_rows).select(
-        key, "ord", "reason", "weight"
-    )
-
-    # Phrases and terms with punctuation: candidates by token, then the full pattern.
-    # Their texts are fetched by key, so no text is copied once per token.
-    longer = _meet(plain, terms.filter(~F.col("__plain")), key, term_rows)
-    candidates = longer.select(key, "ord", "reason", "weight", "__pattern")
-    checked = candidates.join(hay, key).filter(F.rlike("__hay", "__pattern"))
-    hits = hits.unionByName(checked.select(key, "ord", "reason", "weight"))
-
-    return hits.groupBy(key).agg(
-        F.sum("weight").cast("int").alias("score"),
-        F.array_sort(F.collect_list(F.struct("ord", "reason")))["reason"].alias("reasons"),
-    )
-
-
-def _meet(tokens: DataFrame, terms: DataFrame, key: str, term_rows: int) -> DataFrame:
-    if term_rows <= BROADCAST_TERMS:
-        return tokens.join(F.broadcast(terms), "token")
-    return salted_join(tokens, terms, ["token"], "inner", spread=[key])
+    tokens = hay.select(key, F.explode(F.split("__hay", "[^a-z0-9]+")).alias("token"))
+    if rows <= broadcast_terms:
+        met = tokens.join(F.broadcast(terms), "token")
+    else:
+        met = salted_join(tokens, terms, ["token"], "inner", spread=[key])
+    # A repeated word is one hit; what is collected per ad is bounded by the term table.
+    found = met.groupBy(key).agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    if longer:
+        text = F.col("__hay")
+        # The bytes first: only where they are does the regex run.
+        stands = F.filter(
+            "hits",
+            lambda h: h["pattern"].isNull()
+            | (F.contains(text, h["term"]) & F.rlike(text, h["pattern"])),
+        )
+        found = settle(found.join(hay, key), {"hits": stands}).filter(F.size("hits") > 0)
+    total = F.aggregate("hits", F.lit(0), lambda total, h: total + h["weight"])
+    return found.select(key, total.alias("score"), F.col("hits.reason").alias("reasons"))

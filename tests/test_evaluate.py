@@ -169,6 +169,6 @@ def test_token_join_scores_like_the_unrolled_form(spark):
     hay = batch.select("seq", F.concat_ws("\n", "title", F.concat_ws(" ", "tags"), "description").alias("text"))
     unrolled = evaluate(batch, profile.but(geography=Geography(), min_score=-100))
     expected = {s: (n, r) for s, n, r in values(unrolled, "seq", "score", "reasons") if r}
-    for size in (None, 10**9):  # broadcast, and salted shuffle
-        got = score_token_join(hay, terms, "seq", term_rows=size)
+    for limit in (100, 0):  # broadcast, and salted shuffle
+        got = score_token_join(hay, terms, "seq", broadcast_terms=limit)
         assert {s: (n, r) for s, n, r in values(got, "seq", "score", "reasons")} == expected
