@@ -98,7 +98,9 @@ def _mostly(text: Column, script: str) -> Column:
 def text_excluded(folded: Column, rule: LanguageRule) -> Column:
     if rule.off:
         return F.lit(False)
-    return once(rule.votes(folded), lambda votes: rule.verdict(folded, votes))
+    return once(
+        folded, lambda text: once(rule.votes(text), lambda votes: rule.verdict(text, votes))
+    )
 
 
 def language_excluded(title, description, keep, lexicon=lx.DEFAULT_LEXICON) -> Column:
