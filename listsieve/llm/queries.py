@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listsieve.llm import language_codes, quality_zstd, url_filter
+from listsieve.llm import language_codes, packing, quality_zstd, token_files, tokens, url_filter
 from listsieve.llm.tables import remainder, table
 
 URL_RULES = (
@@ -17,6 +17,23 @@ URL_RULES = (
 )
 
 
+#: The byte-level vocabulary: ids below 50257.
+BYTE_BPE = {"path": tokens.public_path("byte_bpe_50k.json"), "blank_led": True}
+#: The vocabulary with word ends.
+WORD_BPE = {"path": tokens.public_path("word_bpe_49k.json"), "blank_led": False}
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = token_files.write(docs, "token-files", end_id=2, vocabulary=50_257, **BYTE_BPE)
+    return token_files.documents(blocks)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, end_id=1, **WORD_BPE)
+
+
 def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
@@ -41,6 +58,8 @@ def op10_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op3_packing": op3_packing,
     "op4_language_codes": op4_language_codes,
     "op5_url_filter": op5_url_filter,
     "op10_quality_zstd": op10_quality_zstd,
