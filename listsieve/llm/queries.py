@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listsieve.llm import language_codes, packing, quality_zstd, token_files, tokens, url_filter
+from listsieve.llm import language_codes, packing, quality_zstd, secret_index, token_files, tokens, url_filter
 from listsieve.llm.tables import remainder, table
 
 URL_RULES = (
@@ -29,6 +29,20 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(blocks)
 
 
+def op2_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = secret_index.scan(docs)
+    kinds = [rule.kind for rule in secret_index.BASE_RULES]
+    base = F.filter("secret_spans", lambda s: s["kind"].isin(kinds))
+    counts = [secret_index.count_of(F.col("secret_spans"), k).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_index.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secret_index.joined(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, end_id=1, **WORD_BPE)
@@ -59,6 +73,7 @@ def op10_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_secret_index": op2_secret_index,
     "op3_packing": op3_packing,
     "op4_language_codes": op4_language_codes,
     "op5_url_filter": op5_url_filter,
