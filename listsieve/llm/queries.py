@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listsieve.llm import language_codes, packing, quality_zstd, secret_index, token_files, tokens, url_filter
+from listsieve.llm import fingerprints, language_codes, packing, quality_zstd, secret_index, token_files, tokens, url_filter
 from listsieve.llm.tables import remainder, table
 
 URL_RULES = (
@@ -61,6 +61,26 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, weights)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # four ranges a shuffle partition, so that hashing evens them out
+    rows = fingerprints.with_next(docs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("edited", fingerprints.edited_text(F.col("text"), F.col("next_text")))
+    rows = fingerprints.with_sketch(rows, "edited", "changed")
+    own = F.col("sketch")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.encoded(own).alias("fingerprint"),
+        fingerprints.encoded(F.col("changed")).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, F.col("changed")).alias("near_edited"),
+        fingerprints.resemblance(own, F.col("next_sketch")).alias("near_next"),
+        fingerprints.distinct_shingles(own).alias("distinct_shingles"),
+        fingerprints.containment(own, F.col("changed")).alias("edited_has"),
+    )
+
+
 def op10_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
@@ -77,6 +97,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_language_codes": op4_language_codes,
     "op5_url_filter": op5_url_filter,
+    "op9_fingerprints": op9_fingerprints,
     "op10_quality_zstd": op10_quality_zstd,
 }
 
