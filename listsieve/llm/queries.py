@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listsieve.llm import fingerprints, language_codes, packing, quality_zstd, secret_index, token_files, tokens, url_filter
+from listsieve.llm import decontaminate, fingerprints, language_codes, packing, quality_zstd, secret_index, token_files, tokens, url_filter
 from listsieve.llm.tables import remainder, table
 
 URL_RULES = (
@@ -61,6 +61,19 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, weights)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # four ranges a shuffle partition, so that hashing evens them out
@@ -97,6 +110,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_language_codes": op4_language_codes,
     "op5_url_filter": op5_url_filter,
+    "op7_decontaminate": op7_decontaminate,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_zstd": op10_quality_zstd,
 }
