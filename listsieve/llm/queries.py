@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listsieve.llm import decontaminate, fingerprints, language_codes, packing, quality_zstd, secret_index, token_files, tokens, url_filter
+from listsieve.llm import decontaminate, fingerprints, language_codes, packing, quality_zstd, secret_index, token_files, tokens, toxicity, url_filter
 from listsieve.llm.tables import remainder, table
 
 URL_RULES = (
@@ -74,6 +74,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    learn = F.coalesce(remainder("_id", 3) != 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # four ranges a shuffle partition, so that hashing evens them out
@@ -111,6 +121,7 @@ QUERIES = {
     "op4_language_codes": op4_language_codes,
     "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
+    "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_zstd": op10_quality_zstd,
 }
