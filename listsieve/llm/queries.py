@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listsieve.llm import decontaminate, fingerprints, language_codes, packing, quality_zstd, secret_index, token_files, tokens, toxicity, url_filter
+from listsieve.llm import decontaminate, fingerprints, language_codes, near_join, packing, quality_zstd, secret_index, token_files, tokens, toxicity, url_filter
 from listsieve.llm.tables import remainder, table
 
 URL_RULES = (
@@ -61,6 +61,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, weights)
 
 
+def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"))
@@ -120,6 +124,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_language_codes": op4_language_codes,
     "op5_url_filter": op5_url_filter,
+    "op6_near_join": op6_near_join,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
