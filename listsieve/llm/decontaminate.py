@@ -87,7 +87,7 @@ def necessary(distinct: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
-FOUND = "row long, doc_id long, n_words long, token long, at long, context_at long, context string"
+FOUND = "row long, doc_id long, text_hash long, n_words long, token long, at long, context_at long, context string"
 
 
 def find(docs: DataFrame, wanted: np.ndarray, sizes: list[int], size: int = WINDOW) -> DataFrame:
@@ -97,12 +97,13 @@ def find(docs: DataFrame, wanted: np.ndarray, sizes: list[int], size: int = WIND
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            texts = batch["text"].to_pylist()
+            names = list(zip(batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(), strict=True))
             for a, b in chunks(texts):
                 found = split_words(texts[a:b], ALNUM)
                 low, high = found.bounds[:-1], found.bounds[1:]
                 out = [
-                    (row + i, keys[a + i], n, None, None, None, None) for i, n in enumerate((high - low).tolist())
+                    (row + i, *names[a + i], n, None, None, None, None) for i, n in enumerate((high - low).tolist())
                 ]
                 for k in sizes:
                     hashes, places = found.shingles(k)
@@ -112,16 +113,16 @@ def find(docs: DataFrame, wanted: np.ndarray, sizes: list[int], size: int = WIND
                         start, stop = max(at - size + k, low[i]), min(at + size, high[i])
                         around = b" ".join(found.word(j) for j in range(start, stop))
                         context = around.decode("utf-8", "surrogatepass")
-                        out.append((row + i, None, None, token, at - int(low[i]), int(start - low[i]), context))
+                        out.append((row + i, None, None, None, token, at - int(low[i]), int(start - low[i]), context))
                 row += b - a
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64()] * 6 + [pa.string()]
+                kinds = [pa.int64()] * 7 + [pa.string()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    ["row", "doc_id", "n_words", "token", "at", "context_at", "context"],
+                    ["row", "doc_id", "text_hash", "n_words", "token", "at", "context_at", "context"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(search, FOUND)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(search, FOUND)
 
 
 def covered(spans: Column) -> Column:
@@ -137,10 +138,10 @@ def covered(spans: Column) -> Column:
 
 
 def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_words, n_hit, items, contaminated, text_hash) of every row of ``docs`` (doc_id, text).
 
     n_hit: words inside any occurrence of any window; items: ids of the items that have one,
-    sorted as strings. A null or empty text has no words; repeated rows and ids are judged each
+    sorted as strings; text_hash: xxhash64 of the text. A null or empty text has no words; repeated rows and ids are judged each
     for itself; an empty table of either kind gives no hits. Other columns are not read.
     """
     every = stored(windows(benchmark), "benchmark-windows")
@@ -174,7 +175,7 @@ def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("row")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
-    documents = found.where("token IS NULL").select("row", "doc_id", "n_words")
+    documents = found.where("token IS NULL").select("row", "doc_id", "text_hash", "n_words")
     return (
         documents.join(spans, "row", "left")
         .join(items, "row", "left")
@@ -184,5 +185,6 @@ def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            "text_hash",
         )
     )

@@ -110,7 +110,7 @@ class Order:
         return np.concatenate([rare, frequent[: need - len(rare)]])
 
 
-FEATURES = "row long, doc_id long, n long, sig1 long, sig2 long, tokens array<long>, counts binary"
+FEATURES = "row long, doc_id long, text_hash long, n long, sig1 long, sig2 long, tokens array<long>, counts binary"
 
 
 def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -120,25 +120,26 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, order = TaskContext.get().partitionId() << 33, Order(frequent)
         for batch in batches:
-            keys, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            texts = batch["text"].to_pylist()
+            names = list(zip(batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(), strict=True))
             for a in range(0, len(texts), 512):
                 out = []
-                for key, own in zip(keys[a : a + 512], sets_of(texts[a : a + 512]), strict=True):
+                for name, own in zip(names[a : a + 512], sets_of(texts[a : a + 512]), strict=True):
                     mask = np.uint64((1 << TOKEN_BITS) - 1)
                     tokens = (order.first(own) & mask).astype(np.int64) if len(own) else np.empty(0, np.int64)
                     counts = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<i4")
-                    out.append((row, key, len(own), *signature(own), tokens, counts.tobytes()))
+                    out.append((row, *name, len(own), *signature(own), tokens, counts.tobytes()))
                     row += 1
                 columns = list(zip(*out, strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
-                ends = np.cumsum([0, *map(len, columns[5])])
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(columns[5]))))
-                arrays.append(pa.array(columns[6], pa.binary()))
+                arrays = [pa.array(c, pa.int64()) for c in columns[:6]]
+                ends = np.cumsum([0, *map(len, columns[6])])
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(columns[6]))))
+                arrays.append(pa.array(columns[7], pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    arrays, ["row", "doc_id", "n", "sig1", "sig2", "tokens", "counts"]
+                    arrays, ["row", "doc_id", "text_hash", "n", "sig1", "sig2", "tokens", "counts"]
                 )
 
-    return stored(docs.select("doc_id", "text").mapInArrow(task, FEATURES), "set-features")
+    return stored(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(task, FEATURES), "set-features")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -250,10 +251,10 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, text_hash) of every row of ``docs`` (doc_id, text).
 
     Rows are linked if 100 * intersection >= 75 * union of their sets; component_id is the least
-    doc_id that links reach. A null or wordless text has an empty set and no links. Repeated
+    doc_id that links reach; text_hash, xxhash64 of the text, tells rows of one id apart. A null or wordless text has an empty set and no links. Repeated
     rows and ids are rows like others; an empty table gives none. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
@@ -295,11 +296,12 @@ def join(docs: DataFrame) -> DataFrame:
     ids = reached.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named_ids = reached.join(ids, "component").select("sig1", "sig2", "component_id")
     return (
-        rows.select("doc_id", "n", "sig1", "sig2")
+        rows.select("doc_id", "text_hash", "n", "sig1", "sig2")
         .join(named_ids, ["sig1", "sig2"], "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            "text_hash",
         )
     )

@@ -62,7 +62,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join.join(table(spark, sf_dir, "documents"))
+    return near_join.join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
