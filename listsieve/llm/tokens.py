@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,6 +27,20 @@ CHUNK_CHARS = 1 << 20
 #: A blank that both vocabularies surely split at.
 _PLAIN_BLANK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
+#: Marks that never join what stands before them.
+_MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else
+    the next one above 255."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
 
 def _parts(text: str) -> Iterator[str]:
     """A very long text in parts whose ids are those of the whole one after the other."""
@@ -52,24 +67,47 @@ class Encoder:
         self.blank_led = blank_led
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {} if blank_led else self.first
+        self.merges = self.tokenizer.model
+        self.normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        self.mark_ids: dict[str, bytes] = {}
         self.newline = self.plain(["\n"])[0]
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """The tokenizer's own ids of each text."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, ID).tobytes() for e in found]
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
     def _learn(self, table: dict[str, bytes | None], words: set[str], lead: str) -> None:
-        usual = []
+        """Ids of new words. One of letters alone, or followed by plain marks, is one or two
+        stretches of the vocabulary's splitting, so the merges apply to it at once."""
+        rest = []
         for word in words:
-            if self.blank_led and (not word or word[0].isspace() or word[-1].isspace() or not word.isprintable()):
+            core = word.rstrip(_MARKS)
+            if core.isalpha() and (ids := self._stretch(lead + core)) is not None:
+                table[word] = ids if core is word else ids + self._marks(word[len(core) :])
+            elif self.blank_led and (not word or word[0].isspace() or word[-1].isspace() or not word.isprintable()):
                 table[word] = None  # its ids may depend on what is beside it
             else:
-                usual.append(word)
-        for at in range(0, len(usual), 4096):
-            some = usual[at : at + 4096]
+                rest.append(word)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             table.update(zip(some, self.plain([lead + w for w in some]), strict=True))
 
+    def _stretch(self, letters: str) -> bytes | None:
+        """Ids of one stretch of letters (and the blank before it), straight from the merges."""
+        if not self.blank_led:
+            letters = letters.lower() if letters.isascii() else self.normalize(letters)
+            if not letters.isalpha():
+                return None
+        mapped = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [token.id for token in self.merges.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.mark_ids:
+            self.mark_ids[marks] = self.plain([marks])[0]
+        return self.mark_ids[marks]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, none for a null; words are held for a bounded chunk at a time."""
         out: list[bytes] = []
