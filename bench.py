@@ -35,6 +35,7 @@ def session(cpus: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("listsieve-bench")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
+        .config("spark.listsieve.spread", cpus if cpus.isdigit() else "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

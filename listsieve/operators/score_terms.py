@@ -12,7 +12,8 @@ from listsieve.schema import settle
 #: A term table up to this size is broadcast; beyond it tokens meet terms by shuffle.
 BROADCAST_TERMS = 200_000
 
-_WORD = "[^a-z0-9]+"
+#: Characters that a term without ASCII letters and digits is found by.
+_START = 3
 
 
 def score_token_join(
@@ -26,8 +27,8 @@ def score_token_join(
 
     ``terms`` has ``ord, term, weight``, with ``ord`` unique. A term's first token finds the candidate
     ads; terms that are more than that one token are then tested in full, with the
-    boundaries the regex form has. Terms need an ASCII letter or digit. ``key``
-    must be unique. The term table is counted first: a small one is broadcast, a
+    boundaries the regex form has. A term without an ASCII letter or digit is found
+    by its first characters among those of the text. ``key`` must be unique. The term table is counted first: a small one is broadcast, a
     larger one meets the tokens in a shuffle salted against frequent words.
     """
     term = fold("term")
@@ -37,8 +38,9 @@ def score_token_join(
         F.regexp_replace(term, r"([\p{Punct}])", r"\\$1"),
         F.lit("($|[^a-z0-9])"),
     )
+    ascii_token = F.regexp_extract(term, "[a-z0-9]+", 0)
     terms = terms.select(
-        F.regexp_extract(term, "[a-z0-9]+", 0).alias("token"),
+        F.when(ascii_token != "", ascii_token).otherwise(F.substring(term, 1, _START)).alias("token"),
         F.struct(
             F.col("ord"),
             F.col("term").alias("reason"),
@@ -47,10 +49,20 @@ def score_token_join(
             F.when(~plain, pattern).alias("pattern"),
         ).alias("hit"),
     ).filter(F.col("token") != "")
-    rows, longer = terms.agg(F.count(F.lit(1)), F.count("hit.pattern")).first()
+    bare = ~F.rlike("token", F.lit("[a-z0-9]"))
+    rows, longer, *starts = terms.agg(
+        F.count(F.lit(1)),
+        F.count("hit.pattern"),
+        *[F.count(F.when(bare & (F.length("token") == n), 1)) for n in range(1, _START + 1)],
+    ).first()
 
     hay = ads.select(F.col(key), fold(text).alias("__hay"))
-    tokens = hay.select(key, F.explode(F.split("__hay", "[^a-z0-9]+")).alias("token"))
+    found = F.split("__hay", "[^a-z0-9]+")
+    for n, count in enumerate(starts, 1):
+        if count:  # every stretch of that many other characters, overlapping ones too
+            others = F.regexp_extract_all("__hay", F.lit(f"(?=([^a-z0-9]{{{n}}}))"), F.lit(1))
+            found = F.concat(found, F.array_distinct(others))
+    tokens = hay.select(key, F.explode(found).alias("token"))
     if rows <= broadcast_terms:
         met = tokens.join(F.broadcast(terms), "token")
     else:

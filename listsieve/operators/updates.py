@@ -16,12 +16,12 @@ class Updated(NamedTuple):
     rejected: DataFrame  # id, problem
 
 
-def collapse_updates(updates: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per id; for each field the last value given. Unknown statuses go."""
+def collapse_updates(updates: DataFrame, order: str) -> DataFrame:
+    """One row per id; for each field the last value given by ``order``. Unknown statuses go."""
     for name, kind in (("hidden", "boolean"), ("status", "string")):
         if name not in updates.columns:
             updates = updates.withColumn(name, F.lit(None).cast(kind))
-    by = F.col(order) if order else F.lit(0)
+    by = F.col(order)
     known = updates.filter(F.col("status").isNull() | valid_status())
 
     def last(name: str):
@@ -31,7 +31,7 @@ def collapse_updates(updates: DataFrame, order: str | None = None) -> DataFrame:
     return known.groupBy("id").agg(last("hidden"), last("status"))
 
 
-def apply_updates(state: DataFrame, updates: DataFrame, now, order: str | None = None) -> Updated:
+def apply_updates(state: DataFrame, updates: DataFrame, now, order: str) -> Updated:
     """Apply ``(id, hidden, status)`` updates; NULL leaves a field alone.
 
     An empty status clears the status and its time. Updates to unknown ids and

@@ -114,13 +114,15 @@ def _seen(minutes: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(F.lit(NOW).cast("timestamp")) - minutes * 60)
 
 
-def state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored state: the listings of all documents that are no repeats and whose
-    number leaves a remainder below 6 of 10."""
+def state(spark: SparkSession, sf_dir: str, before_batch: bool = False) -> DataFrame:
+    """Stored state: the listings of all documents that are no repeats. ``before_batch``
+    leaves those out that only ``batch`` brings: remainders from 6 of 10 on."""
     from listsieve import schema as sc
     from listsieve.operators.merge import identify
 
-    stored = ranked_ads(spark, sf_dir).filter((F.col("doc_id") % 100 < 80) & (F.col("doc_id") % 10 < 6))
+    stored = ranked_ads(spark, sf_dir).filter(F.col("doc_id") % 100 < 80)
+    if before_batch:
+        stored = stored.filter(F.col("doc_id") % 10 < 6)
     age = (F.col("doc_id") * 137) % 200_000  # minutes, up to 138 days
     status = (
         F.when(F.col("doc_id") % 13 == 0, "applied")
@@ -140,8 +142,9 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming batch: every document numbered 4 to 9 of 10, some of them hidden."""
-    incoming = ranked_ads(spark, sf_dir).filter(F.col("doc_id") % 10 >= 4)
+    """Incoming batch: all repeats and every document numbered 4 to 9 of 10, some of them
+    hidden. Together with the state before it, it holds every document."""
+    incoming = ranked_ads(spark, sf_dir).filter((F.col("doc_id") % 10 >= 4) | (F.col("doc_id") % 100 >= 80))
     return incoming.withColumn("hidden", F.col("doc_id") % 11 == 0)
 
 
@@ -320,7 +323,7 @@ def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(
             first_line().alias("title"),
             F.when(F.col("doc_id") % 15 == 0, "").otherwise(link).alias("link"),
-            F.substring("text", 1, 200).alias("snippet"),
+            F.col("text").alias("snippet"),
         )
     )
     return _pages_of(spark, sf_dir, item, ",", _wrapped('{"organic":[', "]}"))

@@ -152,9 +152,11 @@ state AS (
     CASE WHEN status <> '' THEN {NOW} - to_minutes((doc_id * 137) % 200000) END AS status_at
   FROM (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'applied' WHEN doc_id % 29 = 0 THEN 'declined' ELSE '' END AS status
         FROM ranked WHERE doc_id % 100 < 80 AND doc_id % 10 < 6))"""
+#: Every document that is no repeat.
+WHOLE_STATE = STATE.replace(" AND doc_id % 10 < 6", "")
 
 BATCH = f"""{STATE},
-batch AS (SELECT *, doc_id % 11 = 0 AS hidden FROM ranked WHERE doc_id % 10 >= 4),
+batch AS (SELECT *, doc_id % 11 = 0 AS hidden FROM ranked WHERE doc_id % 10 >= 4 OR doc_id % 100 >= 80),
 firsts AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
 lasts AS (SELECT *, bool_or(hidden) OVER (PARTITION BY id) AS any_hidden FROM batch
           QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
@@ -254,10 +256,17 @@ ORACLES["language_excluded_ads"] = with_(
     f"""SELECT doc_id, {_en.excluded('t')} OR {_en.excluded('b')} AS excluded FROM
     (SELECT doc_id, lower(title) AS t, lower(title || ' ' || description) AS b FROM ads)""",
 )
+ORACLES["score_terms_unicode"] = r"""
+WITH low AS (SELECT doc_id, lower(text) AS text FROM documents),
+terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x00-\x7F]+')) AS term FROM low)
+SELECT doc_id, CAST(sum(CASE length(term) % 5 WHEN 0 THEN 1 ELSE length(term) % 5 END) AS INT) AS score,
+  string_agg(term, '|' ORDER BY term) AS reasons
+FROM low JOIN terms ON contains(text, term) AND regexp_matches(text, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')
+GROUP BY doc_id"""
 ORACLES["score_terms"] = """
 WITH bench AS (SELECT lower(text) AS text FROM benchmark),
 terms AS (SELECT DISTINCT term FROM (
-    SELECT unnest(regexp_split_to_array(text, '[^a-z0-9]+')) AS term FROM bench) WHERE length(term) >= 4
+    SELECT unnest(regexp_split_to_array(text, '[^a-z0-9]+')) AS term FROM bench) WHERE term <> ''
   UNION SELECT regexp_extract(text, '^[a-z]+ [a-z]+') FROM bench WHERE regexp_matches(text, '^[a-z]+ [a-z]+')),
 tokens AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS token FROM documents),
 hits AS (SELECT doc_id, term FROM tokens JOIN terms ON token = term
@@ -388,7 +397,7 @@ ORACLES["collapsed_batch"] = with_(
     """SELECT l.id, f.company AS first_company, l.company AS last_company, f.hidden AS first_hidden, l.any_hidden,
   f.seq AS first_seq FROM lasts l JOIN firsts f USING (id)""",
 )
-ORACLES["hidden_content"] = with_(BATCH, "SELECT content_key FROM hidden_keys")
+ORACLES["hidden_content"] = with_(WHOLE_STATE, "SELECT DISTINCT content_key FROM state WHERE hidden")
 ORACLES["suppressed_ids"] = with_(BATCH, "SELECT id FROM firsts WHERE content_key IN (SELECT content_key FROM hidden_keys)")
 ORACLES["retention"] = f"""
 SELECT user_id, day, status, {stamp("last_seen")} AS last_seen FROM
@@ -403,7 +412,7 @@ def _purged() -> str:
     focus = f"(({word(lt, P.adjacent_titles)} AND NOT {word(lt, P.core_title_terms)}) OR NOT {word(hay, P.require_any)})"
     company = has("lower(company)", [c.lower() for c in P.exclude_companies])
     return with_(
-        STATE,
+        WHOLE_STATE,
         f"""SELECT id, title, company, status FROM
         (SELECT *, lower(title) AS t, lower(title || ' ' || description) AS b FROM state)
         WHERE NOT ({company} OR {lang.excluded('t')} OR {lang.excluded('b')} OR (status = '' AND {focus}))""",
@@ -411,7 +420,7 @@ def _purged() -> str:
 
 
 ORACLES["purged_state"] = _purged()
-UPDATES = f"""{STATE},
+UPDATES = f"""{WHOLE_STATE},
 updates AS (SELECT r.id, doc_id AS seq, CASE WHEN toxic = 1 THEN TRUE WHEN doc_id % 7 = 0 THEN FALSE END AS hidden,
   CASE WHEN doc_id % 50 = 7 THEN 'lost' WHEN doc_id % 9 = 0 THEN '' WHEN quality = 1 THEN 'applied' END AS status
   FROM labels JOIN ranked r USING (doc_id)),
@@ -430,20 +439,20 @@ ORACLES["status_rejects"] = with_(
 UNION ALL SELECT DISTINCT id, 'unknown status' FROM updates WHERE status = 'lost'""",
 )
 ORACLES["listed"] = with_(
-    STATE,
+    WHOLE_STATE,
     """SELECT id, source, title, score, fit FROM state WHERE NOT hidden AND status = '' AND score >= 2 AND fit LIKE 'away%'
 AND contains(lower(title || ' ' || company || ' ' || description), 'the ') ORDER BY score DESC, first_seen DESC, id""",
 )
 ORACLES["listed_hidden_top"] = with_(
-    STATE,
+    WHOLE_STATE,
     f"""SELECT id, source, score, status, {stamp("first_seen")} AS first_seen FROM
 (SELECT * FROM state WHERE hidden AND score >= -10 ORDER BY score DESC, first_seen DESC, id LIMIT 20)""",
 )
 ORACLES["listed_tracked"] = with_(
-    STATE, "SELECT id, status, score FROM state WHERE NOT hidden AND status <> '' AND score >= 0"
+    WHOLE_STATE, "SELECT id, status, score FROM state WHERE NOT hidden AND status <> '' AND score >= 0"
 )
 ORACLES["state_facets"] = with_(
-    STATE,
+    WHOLE_STATE,
     """SELECT DISTINCT * FROM (SELECT 'source' AS facet, source AS value FROM state
 UNION ALL SELECT 'fit', split_part(fit, ' (', 1) FROM state) WHERE value <> ''""",
 )
@@ -462,6 +471,9 @@ ORACLES["budget_per_source"] = with_(
     CRAWLED,
     "SELECT source, doc_id FROM waiting QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) <= 3",
 )
+ORACLES["budget_large"] = with_(
+    ADS, "SELECT source, doc_id FROM ads QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) <= 1500"
+)
 ORACLES["budget_overall"] = with_(CRAWLED, "SELECT doc_id FROM waiting ORDER BY seq LIMIT 25")
 ORACLES["uncached_ads"] = with_(CRAWLED, "SELECT doc_id, raw_url AS url FROM waiting")
 _limits = "CASE source " + " ".join(f"WHEN {lit(s)} THEN {k}" for s, k in q.VERIFY_LIMITS.items()) + " ELSE 0 END"
@@ -556,7 +568,7 @@ ORACLES["jsonld_descriptions"] = f"""SELECT 'https://e.example.com/' || doc_id A
 _hit_host = "CASE doc_id % 4 WHEN 0 THEN 'www.acme.test' ELSE 'Jobs.Acme.test:8080' END"
 ORACLES["search_hits"] = ingested(
     "serper", line(), "CASE doc_id % 4 WHEN 0 THEN 'acme.test' ELSE 'Jobs.Acme.test' END", "''",
-    f"'https://' || {_hit_host} || '/' || ({KEY})", "''", "md5(left(text, 200))", "NULL::TIMESTAMP",
+    f"'https://' || {_hit_host} || '/' || ({KEY})", "''", "md5(text)", "NULL::TIMESTAMP",
     keep="doc_id % 4 IN (0, 3) AND doc_id % 15 <> 0",
 )
 _lang_place = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END"
@@ -612,4 +624,5 @@ FROM (SELECT * FROM evaluated WHERE reject_reason = '' QUALIFY row_number() OVER
     )
 
 
-ORACLES["stream_merge"] = _streamed()
+ORACLES["stream_merge"] = ORACLES["stream_two_sources"] = _streamed()
+ORACLES["reopened_state"] = with_(WHOLE_STATE, "SELECT id, count(*) AS n FROM state GROUP BY id")

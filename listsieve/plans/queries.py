@@ -112,7 +112,7 @@ def funnel(spark, sf_dir):
 def source_metrics(spark, sf_dir):
     """Fetched, matched and new per source; new against the stored state."""
     evaluated = evaluate(fx.ads(spark, sf_dir), fx.PROFILE)
-    fresh = merge_fresh(fx.state(spark, sf_dir), matched(evaluated), fx.NOW, order="seq")
+    fresh = merge_fresh(fx.state(spark, sf_dir, before_batch=True), matched(evaluated), fx.NOW, order="seq")
     return run_metrics(evaluated, fresh)
 
 
@@ -151,9 +151,7 @@ def score_terms(spark, sf_dir):
     """Every word of the benchmark table, and each item's first two words, as terms."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = fx.table(spark, sf_dir, "benchmark").select(F.lower("text").alias("text"))
-    words = bench.select(F.explode(F.split("text", "[^a-z0-9]+")).alias("term")).filter(
-        F.length("term") >= 4
-    )
+    words = bench.select(F.explode(F.split("text", "[^a-z0-9]+")).alias("term")).filter("term <> ''")
     phrases = bench.select(F.regexp_extract("text", "^[a-z]+ [a-z]+", 0).alias("term")).filter(
         F.col("term") != ""
     )
@@ -165,6 +163,16 @@ def score_terms(spark, sf_dir):
     return score_token_join(docs, terms, "doc_id").select("doc_id", "score", joined("reasons"))
 
 
+@query
+def score_terms_unicode(spark, sf_dir):
+    """Every run of other than ASCII characters in the documents as a term."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x7F]+"), F.lit(0))
+    terms = docs.select(F.explode(F.array_distinct(runs)).alias("term")).distinct()
+    terms = terms.select(F.col("term").alias("ord"), "term", (F.length("term") % 5).alias("weight"))
+    return score_token_join(docs, terms, "doc_id").select("doc_id", "score", joined("reasons"))
+
+
 @query
 def geography(spark, sf_dir):
     customers = fx.table(spark, sf_dir, "customer")
@@ -350,14 +358,14 @@ def _state_columns(df: DataFrame) -> DataFrame:
 @query
 def merged_state(spark, sf_dir):
     return _state_columns(
-        merge_state(fx.state(spark, sf_dir), fx.batch(spark, sf_dir), fx.NOW, order="seq")
+        merge_state(fx.state(spark, sf_dir, before_batch=True), fx.batch(spark, sf_dir), fx.NOW, order="seq")
     )
 
 
 @query
 def merged_fresh(spark, sf_dir):
     return _state_columns(
-        merge_fresh(fx.state(spark, sf_dir), fx.batch(spark, sf_dir), fx.NOW, order="seq")
+        merge_fresh(fx.state(spark, sf_dir, before_batch=True), fx.batch(spark, sf_dir), fx.NOW, order="seq")
     )
 
 
@@ -383,7 +391,7 @@ def hidden_content(spark, sf_dir):
 @query
 def suppressed_ids(spark, sf_dir):
     """Batch ids whose company and title were hidden before."""
-    stored, incoming = fx.state(spark, sf_dir), identify(fx.batch(spark, sf_dir))
+    stored, incoming = fx.state(spark, sf_dir, before_batch=True), identify(fx.batch(spark, sf_dir))
     first = incoming.groupBy("id").agg(F.min_by("content_key", "seq").alias("content_key"))
     return suppress_hidden(first, stored)
 
@@ -459,7 +467,7 @@ def state_facets(spark, sf_dir):
 
 @query
 def new_match_digest(spark, sf_dir):
-    fresh = merge_fresh(fx.state(spark, sf_dir), fx.batch(spark, sf_dir), fx.NOW, order="seq")
+    fresh = merge_fresh(fx.state(spark, sf_dir, before_batch=True), fx.batch(spark, sf_dir), fx.NOW, order="seq")
     return digest(fresh, order="seq")
 
 
@@ -473,6 +481,12 @@ def budget_per_source(spark, sf_dir):
     return budget(waiting, 3, "source", "seq").select("source", "doc_id")
 
 
+@query
+def budget_large(spark, sf_dir):
+    """More rows per source than Spark's own group limit takes."""
+    return budget(fx.ads(spark, sf_dir), 1500, "source", "seq").select("source", "doc_id")
+
+
 @query
 def budget_overall(spark, sf_dir):
     waiting = lookup.not_crawled(fx.ads(spark, sf_dir), fx.crawled(spark, sf_dir), fx.NOW)
@@ -659,33 +673,56 @@ def ingestion_report(spark, sf_dir):
 # ---- Stream ----------------------------------------------------------------------------------
 
 
+def _landed(rows: DataFrame) -> DataFrame:
+    """Ads out of landed documents."""
+    return sc.conform_keep(
+        rows.withColumn("key", fx.base_key()).select(
+            "source",
+            fx.first_line().alias("title"),
+            F.concat(F.lit("Co "), (F.col("doc_id") % 40).cast("string")).alias("company"),
+            fx.ad_url().alias("url"),
+            F.array("lang", "source").alias("tags"),
+            F.col("text").alias("description"),
+            sc.arrival(0, F.col("doc_id")).alias("arrival"),
+        ),
+        sc.CONTENT_FIELDS,
+    )
+
+
+def _streamed(spark, sf_dir, part: Column, store: StateStore, checkpoint: str) -> None:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    landing = (
+        spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    )
+    run = micro_batch.start(
+        landing.filter(part), store, fx.PROFILE, checkpoint, _landed, lambda *_: fx.NOW, interval=None
+    )
+    run.awaitTermination()
+
+
 @query
 def stream_merge(spark, sf_dir):
     """All documents through the micro-batch run into an empty state."""
     folder = f"{ensure_checkpoint_dir(spark)}/stream-merge-{uuid.uuid4().hex}"
-    docs = fx.table(spark, sf_dir, "documents")
-    landing = (
-        spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    )
     store = StateStore(spark, f"{folder}/state", buckets=8)
+    _streamed(spark, sf_dir, F.lit(True), store, f"{folder}/checkpoint")
+    return _state_columns(store.load()).drop("first_seen", "last_seen", "status_at")
 
-    def read(rows: DataFrame) -> DataFrame:
-        line = fx.first_line()
-        return sc.conform_keep(
-            rows.withColumn("key", fx.base_key()).select(
-                "source",
-                line.alias("title"),
-                F.concat(F.lit("Co "), (F.col("doc_id") % 40).cast("string")).alias("company"),
-                fx.ad_url().alias("url"),
-                F.array("lang", "source").alias("tags"),
-                F.col("text").alias("description"),
-                sc.arrival(0, F.col("doc_id")).alias("arrival"),
-            ),
-            sc.CONTENT_FIELDS,
-        )
 
-    run = micro_batch.start(
-        landing, store, fx.PROFILE, f"{folder}/checkpoint", read, lambda *_: fx.NOW, interval=None
-    )
-    run.awaitTermination()
+@query
+def stream_two_sources(spark, sf_dir):
+    """Even and odd documents as two streams with checkpoints of their own, into one state;
+    each of them is started twice."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-two-{uuid.uuid4().hex}"
+    store = StateStore(spark, f"{folder}/state", buckets=8)
+    for rest in (0, 1, 0, 1):
+        _streamed(spark, sf_dir, F.col("doc_id") % 2 == rest, store, f"{folder}/checkpoint-{rest}")
     return _state_columns(store.load()).drop("first_seen", "last_seen", "status_at")
+
+
+@query
+def reopened_state(spark, sf_dir):
+    """A state saved in 16 buckets and opened again without naming a number."""
+    path = f"{ensure_checkpoint_dir(spark)}/reopened-{uuid.uuid4().hex}"
+    StateStore(spark, path, buckets=16).save(fx.state(spark, sf_dir))
+    return StateStore(spark, path).load().groupBy("id").agg(F.count("*").alias("n"))

@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in tests, is a folder of our own set.
+    Only where the session names none, as in tests, is a folder beside its warehouse set.
     """
     context = spark.sparkContext
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    own = tempfile.mkdtemp(prefix="listsieve-checkpoint-")
-    context.setCheckpointDir(own)
-    return own
+    folder = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -30,18 +25,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input that fits one scan task over the cores.
-
-    Costly text work on a few megabytes would run on a single core otherwise. An
-    input larger than one split is left as it lies, without a shuffle.
-    """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if ONE_TASK_BYTES < size <= split:
-        return df.repartition(spark.sparkContext.defaultParallelism, *keys)
-    return df
-
-
-#: Below this an input is not worth more than one task.
-ONE_TASK_BYTES = 1 << 20
+    """Spread an input over as many tasks as ``spark.listsieve.spread`` says; unset, as by
+    default, it is left as it lies. For small tables in one file, where a single task would
+    do all costly text work."""
+    tasks = df.sparkSession.conf.get("spark.listsieve.spread", None)
+    return df.repartition(int(tasks), *keys) if tasks else df

@@ -22,12 +22,32 @@ BUCKETS = 64
 class StateStore:
     """State and crawl cache under one folder.
 
-    ``buckets`` fixes the layout: about a gigabyte or less of state per bucket.
+    ``buckets`` fixes the layout when the store is first written: about a gigabyte or
+    less of state per bucket. The number is kept beside the versions; a store that is
+    opened again finds it there, and another number is refused.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
         self._tag = hashlib.sha1(self.path.encode()).hexdigest()[:12]
+        kept = self._kept_buckets()
+        if kept is not None and buckets not in (None, kept):
+            raise ValueError(f"{self.path} is laid out in {kept} buckets, not {buckets}")
+        self.buckets = kept or buckets or BUCKETS
+
+    # -- layout -------------------------------------------------------------------
+
+    def _kept_buckets(self) -> int | None:
+        fs, where = self._fs(f"{self.path}/layout")
+        if not fs.exists(where):
+            return None
+        names = [f.getPath().getName() for f in fs.listStatus(where)]
+        return max((int(n.removeprefix("buckets-")) for n in names), default=None)
+
+    def _keep_buckets(self) -> None:
+        if self._kept_buckets() is None:
+            fs, where = self._fs(f"{self.path}/layout/buckets-{self.buckets}")
+            fs.create(where, True).close()
 
     # -- pointer ------------------------------------------------------------------
 
@@ -117,6 +137,7 @@ class StateStore:
         if batch and self.has_batch(batch):
             return current
         version = 0 if current is None else current + 1
+        self._keep_buckets()
         cache = self.load_crawled() if crawled is None else crawled
         rows = sc.conform(state, sc.STATE)
         if not (placed and current is not None):
@@ -195,6 +216,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(where))
 
 
-def save_state(df: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+def save_state(df: DataFrame, path: str, buckets: int | None = None) -> int:
     """Write a state as the next snapshot version under ``path``."""
     return StateStore(df.sparkSession, path, buckets).save(df)

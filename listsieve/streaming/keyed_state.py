@@ -5,8 +5,9 @@ sets it ('' clears it), one without is only a sighting. Output is one row per
 sighting telling whether the id was new. A timer per id drops its state once it
 has gone unseen for the retention time, unless it is tracked by then.
 
-All sightings of one id pass through one task, in order. Where single ids may be
-very frequent, the micro-batch run is the better choice: it collapses repeats
+All sightings of one id pass through one task. Within a chunk of a trigger they are
+taken in order of time; the earliest one of all is ``first_seen``, whichever comes in
+first. A sighting without a time is dropped. Where single ids may be very frequent, the micro-batch run is the better choice: it collapses repeats
 before they are shuffled.
 """
 
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -63,7 +65,7 @@ class Freshness(StatefulProcessor):
         # Chunk by chunk as they come in: an id seen very often is never held whole.
         for chunk in rows:
             out = []
-            for row in chunk.itertuples(index=False):
+            for row in chunk.sort_values("seen_at", kind="stable").itertuples(index=False):
                 entry, fresh = self._sighted(entry, row)
                 first, last, hidden, status = entry
                 out.append((key[0], _time(first), _time(last), hidden, status, fresh))
@@ -79,7 +81,7 @@ class Freshness(StatefulProcessor):
         if first is not None and not status and seen - last > self.keep_ms:
             first, hidden = None, False  # gone stale between two sightings
         new = first is None
-        first, last = (seen, seen) if new else (first, max(last, seen))
+        first, last = (seen, seen) if new else (min(first, seen), max(last, seen))
         hidden = bool(hidden or row.hidden)
         if row.status is not None and not pd.isna(row.status):
             status = row.status
@@ -102,7 +104,8 @@ def stateful_merge(
 ) -> DataFrame:
     """Freshness per id over a stream of sightings. Needs the RocksDB state store."""
     return (
-        sightings.withWatermark(event_time, delay)
+        sightings.filter(F.col(event_time).isNotNull())
+        .withWatermark(event_time, delay)
         .groupBy("id")
         .transformWithStateInPandas(
             statefulProcessor=Freshness(retention),

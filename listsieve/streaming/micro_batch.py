@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -33,11 +34,13 @@ def start(
     ``read`` turns a batch of landed rows into ads. ``interval=None`` takes in
     all that is there and stops. Each batch becomes one state version carrying
     the batch's name; a batch that is replayed after a failure finds its version
-    and changes nothing.
+    and changes nothing. The name holds the stream's own id, which lasts as long as
+    its checkpoint, so several streams may feed one store.
     """
+    stream: Future[str] = Future()
 
     def take_in(rows: DataFrame, batch_id: int) -> None:
-        batch = f"{name}-{batch_id}"
+        batch = f"{name}-{stream.result()}-{batch_id}"
         if store.has_batch(batch):
             return
         moment = dt.datetime.now(dt.timezone.utc) if now is None else now(rows, batch_id)
@@ -47,7 +50,9 @@ def start(
 
     writer = landing.writeStream.queryName(name).option("checkpointLocation", checkpoint)
     once = {"availableNow": True} if interval is None else {"processingTime": interval}
-    return writer.foreachBatch(take_in).trigger(**once).start()
+    query = writer.foreachBatch(take_in).trigger(**once).start()
+    stream.set_result(query.id)
+    return query
 
 
 def start_from_files(

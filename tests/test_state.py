@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from listsieve import Keyword, Profile
 from listsieve import schema as sc
+from listsieve.operators.budget import budget
 from listsieve.operators.enrich import enrich, update_crawled, verify
 from listsieve.operators.lookup import derive_skip_domains, not_crawled, skip_domains
 from listsieve.operators.merge import merge, merge_fresh, merge_state, retain
@@ -41,7 +42,7 @@ def test_status_survives_merge_and_hidden_sticks(spark):
         [(ids["u1"], True, "applied"), (ids["u2"], None, "lost"), ("nope", True, None)],
         "id string, hidden boolean, status string",
     )
-    changed = apply_updates(state, updates, at(T0))
+    changed = apply_updates(state, updates, at(T0), order="id")
     assert sorted(values(changed.rejected, "id", "problem")) == sorted(
         [(ids["u2"], "unknown status"), ("nope", "unknown id")]
     )
@@ -52,7 +53,7 @@ def test_status_survives_merge_and_hidden_sticks(spark):
     later = merge_state(after, ads(spark, dict(url="u9"), **BASE), at("2026-04-02 00:00:00"), "seq")
     assert sorted(values(later, "url")) == ["u1", "u9"]
     cleared = apply_updates(
-        after, spark.createDataFrame([(ids["u1"], "")], "id string, status string"), at(T1)
+        after, spark.createDataFrame([(ids["u1"], "")], "id string, status string"), at(T1), order="id"
     )
     assert values(cleared.state.filter("url = 'u1'"), "status", "status_at", "hidden") == [("", None, True)]
 
@@ -280,7 +281,10 @@ def test_snapshots(spark, tmp_path):
     state_side = plan.split("SortMergeJoin", 1)[1].split("FileScan", 1)[0]
     assert "Bucketed: true" in plan and "Exchange" not in state_side
     assert store.save(after, placed=True) == 1
-    again = st.StateStore(spark, str(tmp_path / "state"), buckets=4)
+    with pytest.raises(ValueError, match="4 buckets"):
+        st.StateStore(spark, str(tmp_path / "state"), buckets=8)
+    again = st.StateStore(spark, str(tmp_path / "state"))
+    assert again.buckets == 4 and again.load().groupBy("id").count().count() == 30
     assert (again.version(), again.load().count(), again.load().schema.names) == (1, 30, sc.STATE.names)
     assert len(list((tmp_path / "state" / "state" / "v=1").glob("*.parquet"))) <= 4
     assert store.expire(keep=1) == [0]
@@ -302,3 +306,10 @@ def test_legacy_state(spark, tmp_path):
     assert st.load_state(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "crawled.json").write_text('{"u1": "2026-01-01T00:00:00Z"}')
     assert values(st.load_crawled(spark, str(tmp_path / "crawled.json")), "url") == ["u1"]
+
+
+def test_budget_above_the_group_limit(spark):
+    rows = spark.range(4000).selectExpr("id AS seq", "if(id % 4 = 0, 'b', 'a') AS source")
+    got = values(budget(rows, 1200, "source", "seq"), "source", "seq")
+    want = [(s, i) for s in "ab" for i in [i for i in range(4000) if (i % 4 == 0) == (s == "b")][:1200]]
+    assert sorted(got) == sorted(want)

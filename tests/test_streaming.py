@@ -39,8 +39,21 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
     (landing / "2.json").write_text(page(("Go Dev II", "u1?ref=9"), ("Go Lead", "u2")))
     start()
     start()
-    assert store.version() == 1 and store.has_batch("triage-0") and store.has_batch("triage-1")
-    assert sorted(values(store.load(), "url", "title")) == [("u0", "Baker"), ("u1", "Go Dev II"), ("u2", "Go Lead")]
+    assert store.version() == 1  # two batches, two versions
+    # Another stream, with a checkpoint of its own, into the same store: its batches are new.
+    more = tmp_path / "more"
+    more.mkdir()
+    (more / "1.json").write_text(page(("Go Ops", "u3")))
+    for _ in range(2):
+        micro_batch.start_from_files(
+            spark, str(more), store, PROFILE, str(tmp_path / "other"),
+            read=feeds.read_json_feed, now=lambda *_: T0, interval=None,
+        ).awaitTermination()
+    assert store.version() == 2 and "u3" in values(store.load(), "url")
+    (landing / "3.json").write_text(page(("Go Ops", "u3")))
+    assert sorted(values(store.load(), "url", "title")) == [
+        ("u0", "Baker"), ("u1", "Go Dev II"), ("u2", "Go Lead"), ("u3", "Go Ops"),
+    ]
     assert ["2 new" in m[0] for m in messages] == [True, False] and "1 new" in messages[1][0]
 
     everything = feeds.read_json_feed(micro_batch_raw(spark, landing))
@@ -106,7 +119,8 @@ def test_keyed_state(spark, tmp_path):
         spark,
         tmp_path / "in",
         [("a", "2026-01-01 00:00:00", False, None), ("t", "2026-01-01 00:00:00", False, "applied"), ("h", "2026-01-01 00:00:00", True, None)],
-        [("a", "2026-01-02 00:00:00", True, None)],
+        [("a", "2026-01-02 00:00:00", True, None), ("a", None, False, None), ("o", "2026-02-02 00:00:00", False, None),
+         ("o", "2026-02-01 00:00:00", False, None)],
         [("a", "2026-06-01 00:00:00", False, None), ("t", "2026-06-01 00:00:00", False, None)],
     )
     run_to_table(keyed_state.stateful_merge(source), tmp_path / "cp", "freshness")
@@ -117,6 +131,8 @@ def test_keyed_state(spark, tmp_path):
         ("a", day(2026, 1, 2), True, "", False),
         ("a", day(2026, 6, 1), False, "", True),  # forgotten in between
         ("h", day(2026, 1, 1), True, "", False),
+        ("o", day(2026, 2, 1), False, "", True),
+        ("o", day(2026, 2, 2), False, "", False),
         ("t", day(2026, 1, 1), False, "applied", True),
         ("t", day(2026, 6, 1), False, "applied", False),  # tracked, so remembered
     ]
