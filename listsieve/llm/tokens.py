@@ -19,7 +19,7 @@ import numpy as np
 from listsieve.llm.words import chunks
 
 #: Words kept a Python worker; then the table starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 ID = np.dtype("<u4")
 #: Characters split into words at a time.
 CHUNK_CHARS = 1 << 20
@@ -40,6 +40,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_BLANK = _BYTE_LETTERS[0x20]
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -83,7 +84,7 @@ class Encoder:
         rest = []
         for word in words:
             core = word.rstrip(_MARKS)
-            if core.isalpha() and (ids := self._stretch(lead + core)) is not None:
+            if core.isalpha() and (ids := self._stretch(lead, core)) is not None:
                 table[word] = ids if core is word else ids + self._marks(word[len(core) :])
             elif self.blank_led and (not word or word[0].isspace() or word[-1].isspace() or not word.isprintable()):
                 table[word] = None  # its ids may depend on what is beside it
@@ -93,13 +94,16 @@ class Encoder:
             some = rest[at : at + 4096]
             table.update(zip(some, self.plain([lead + w for w in some]), strict=True))
 
-    def _stretch(self, letters: str) -> bytes | None:
+    def _stretch(self, lead: str, letters: str) -> bytes | None:
         """Ids of one stretch of letters (and the blank before it), straight from the merges."""
-        if not self.blank_led:
-            letters = letters.lower() if letters.isascii() else self.normalize(letters)
-            if not letters.isalpha():
-                return None
-        mapped = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        if letters.isascii():
+            mapped = _BLANK + letters if lead else letters if self.blank_led else letters.lower()
+        else:
+            if not self.blank_led:
+                letters = self.normalize(letters)
+                if not letters.isalpha():
+                    return None
+            mapped = (lead + letters).encode().decode("latin-1").translate(_BYTE_LETTERS)
         ids = [token.id for token in self.merges.tokenize(mapped)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
