@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listsieve.llm import decontaminate, fingerprints, language_codes, near_join, packing, quality_zstd, secret_index, token_files, tokens, toxicity, url_filter
+from listsieve.llm.oracles import ORACLES  # noqa: F401  beside the queries they belong to
 from listsieve.llm.tables import remainder, table
 
 URL_RULES = (
@@ -130,5 +131,3 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_zstd": op10_quality_zstd,
 }
-
-ORACLES: dict[str, str] = {}
