@@ -67,11 +67,17 @@ def suppress_hidden(
     return salted_join(pairs, keys, ["content_key"], "left_semi", ["id"], salt).select("id")
 
 
-def _suppressed(identified: DataFrame, state: DataFrame, order: str, unicode_keys: bool, salt: int):
-    first = identified.groupBy("id").agg(F.min_by("content_key", F.col(order)).alias("content_key"))
+def _suppressed(collapsed: DataFrame, state: DataFrame, unicode_keys: bool, salt: int):
+    first = collapsed.select("id", "flags.content_key")
     return suppress_hidden(first, state, unicode_keys, salt).withColumn("suppressed", F.lit(True))
 
 
+def prepare(batch: DataFrame, order: str = "arrival", unicode_keys: bool = False) -> DataFrame:
+    """A batch as the merge takes it in: identified, one row per id. A run that needs both the
+    next state and the fresh rows stores it and hands it to both as ``prepared``."""
+    return collapse_batch(identify(batch, unicode_keys), order)
+
+
 def _is(flag: str) -> Column:
     return F.coalesce(F.col(flag), F.lit(False))
 
@@ -85,14 +91,14 @@ def merge_state(
     unicode_keys: bool = False,
     keep_longer_description: bool = False,
     salt: int = SALT,
+    prepared: bool = False,
 ) -> DataFrame:
     """The state after the batch, without what has gone stale."""
     now = as_time(now)
-    identified = identify(batch, unicode_keys)
-    suppressed = _suppressed(identified, state, order, unicode_keys, salt)
+    collapsed = batch if prepared else prepare(batch, order, unicode_keys)
+    suppressed = _suppressed(collapsed, state, unicode_keys, salt)
     incoming = (
-        collapse_batch(identified, order)
-        .join(suppressed, "id", "left")
+        collapsed.join(suppressed, "id", "left")
         .select("id", "last", "flags", "any_hidden", "suppressed", F.lit(True).alias("in_batch"))
     )
     # The id stays the bare column the state is bucketed by, so no row of it moves.
@@ -130,6 +136,7 @@ def merge_fresh(
     order: str = "arrival",
     unicode_keys: bool = False,
     salt: int = SALT,
+    prepared: bool = False,
 ) -> DataFrame:
     """Rows never seen before and not hidden, as they first came in.
 
@@ -138,11 +145,10 @@ def merge_fresh(
     it was stored.
     """
     now = as_time(now)
-    identified = identify(batch, unicode_keys)
-    suppressed = _suppressed(identified, state, order, unicode_keys, salt)
+    collapsed = batch if prepared else prepare(batch, order, unicode_keys)
+    suppressed = _suppressed(collapsed, state, unicode_keys, salt)
     fresh = (
-        collapse_batch(identified, order)
-        .filter(~F.col("flags.hidden"))
+        collapsed.filter(~F.col("flags.hidden"))
         .join(state.select("id"), "id", "left_anti")
         .join(suppressed, "id", "left_anti")
     )
@@ -161,7 +167,7 @@ def merge_fresh(
 
 def merge(state: DataFrame, batch: DataFrame, now, **options) -> tuple[DataFrame, DataFrame]:
     """``(state', fresh)``. Both read the batch, so hand in one that is stored."""
-    both = {k: v for k, v in options.items() if k in ("order", "unicode_keys", "salt")}
+    both = {k: v for k, v in options.items() if k in ("order", "unicode_keys", "salt", "prepared")}
     return merge_state(state, batch, now, **options), merge_fresh(state, batch, now, **both)
 
 

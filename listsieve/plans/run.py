@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from listsieve.functions import lexicon as lx
 from listsieve.operators.enrich import enrich, update_crawled, verify
 from listsieve.operators.evaluate import evaluate, matched, run_metrics
-from listsieve.operators.merge import merge_fresh, merge_state
+from listsieve.operators.merge import merge_fresh, merge_state, prepare
 from listsieve.operators.views import digest
 from listsieve.plans.runtime import cut_lineage
 from listsieve.profile import Profile
@@ -73,8 +73,9 @@ def run_once(
         new_cache = new_cache.unionByName(result.crawled)
 
     state = store.load()
-    fresh = cut_lineage(merge_fresh(state, batch_rows, now))
-    merged = merge_state(state, batch_rows, now)
+    incoming = cut_lineage(prepare(batch_rows))  # once, for the state and the fresh rows
+    fresh = cut_lineage(merge_fresh(state, incoming, now, prepared=True))
+    merged = merge_state(state, incoming, now, prepared=True)
     cache = update_crawled(crawled, new_cache, now)
     version = store.save(merged, cache, batch, placed=True)
     return Run(version, fresh, run_metrics(stored, fresh), verification, digest(fresh))
