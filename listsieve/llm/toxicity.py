@@ -33,6 +33,8 @@ LEAST_EVIDENCE = 16.0
 PREFIX = (3, 6)
 #: Decoded stretches kept a Python worker.
 CACHED = 100_000
+#: Words without any meaning for the score that are kept a Python worker.
+SILENT = 500_000
 #: Longest stretch that is decoded; written words are shorter, and longer ones are no words.
 LONGEST = 48
 
@@ -51,12 +53,14 @@ SIZE = OTHER + 1
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 _SIGNS = re.escape("".join(STANDS_FOR))
-#: Stretches that may hide a word: letters mixed with signs, letters apart, repeated letters.
-SUSPECT = re.compile(
+#: Letters mixed with signs, a hint that there are some, letters apart, and repeated letters:
+#: stretches that may hide a word.
+MIXED = re.compile(
     rf"(?<![^\W\d_])[^\W\d_{_SIGNS}]*(?:[^\W\d_][{_SIGNS}]+(?=[^\W\d_{_SIGNS}])|[{_SIGNS}]+(?=[^\W\d_]))[\w{_SIGNS}]*"
-    r"|(?<!\w)[^\W\d_](?:[ ._\-*/\\][^\W\d_]){2,}(?!\w)"
-    r"|\b[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*",
 )
+MIXED_HINT = re.compile(rf"[{_SIGNS}][^\W\d_]")
+APART = re.compile(r"(?<!\w)[^\W\d_](?:[ ._\-*/\\][^\W\d_]){2,}(?!\w)")
+REPEATED = re.compile(r"([^\W\d_])\1\1")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -174,29 +178,76 @@ def features_of(word: str) -> Iterator[str]:
         yield word[:n] + "-"
 
 
+def stretches(text: str) -> Iterator[str]:
+    """Stretches of more than plain letters that may hide a word."""
+    if MIXED_HINT.search(text):
+        yield from (m[0] for m in MIXED.finditer(text))
+    yield from (m[0] for m in APART.finditer(text))
+
+
 class Reader:
     """Words of a text, as written and as restored; stretches decoded before are remembered."""
 
     def __init__(self, chances: np.ndarray):
         self.chances, self.memory = chances, {}
 
-    def restored(self, text: str) -> set[str]:
-        out = set()
-        for found in SUSPECT.finditer(text):
-            stretch = found[0]
-            if len(stretch) > LONGEST:
-                continue
-            word = self.memory.get(stretch)
-            if word is None:
-                if len(self.memory) >= CACHED:
-                    self.memory.clear()
-                word = self.memory[stretch] = decode(stretch, self.chances)
-            if word:
-                out.add(word)
-        return out
+    def meant(self, stretch: str) -> str:
+        if len(stretch) > LONGEST:
+            return ""
+        word = self.memory.get(stretch)
+        if word is None:
+            if len(self.memory) >= CACHED:
+                self.memory.clear()
+            word = self.memory[stretch] = decode(stretch, self.chances)
+        return word
+
+    def restored(self, text: str, words: set[str]) -> set[str]:
+        found = {self.meant(s) for s in stretches(text)} | {self.meant(w) for w in words if REPEATED.search(w)}
+        return found - {""}
 
     def words(self, text: str) -> tuple[set[str], set[str]]:
-        return set(WORD.findall(text.lower())), self.restored(text)
+        plain = set(WORD.findall(text.lower()))
+        return plain, self.restored(text, plain)
+
+
+class Scorer:
+    """Scores texts; what a word says is worked out once and remembered."""
+
+    def __init__(self, model: Model):
+        self.model, self.reader = model, Reader(model.chances)
+        self.silent: set[str] = set()  # words that say nothing
+        self.telling: dict[str, frozenset[str]] = {}
+
+    def _of_restored(self, word: str) -> set[str]:
+        squeezed = self.model.squeezed
+        found = {f for f in features_of(word) if f in self.model.weights}
+        return found | {squeezed[f] for f in features_of(collapsed(word)) if f in squeezed}
+
+    def _of_word(self, word: str) -> frozenset[str]:
+        found = {f for f in features_of(word) if f in self.model.weights}
+        if REPEATED.search(word) and (meant := self.reader.meant(word)):
+            found |= self._of_restored(meant)
+        return frozenset(found)
+
+    def margin(self, text: str) -> float:
+        found: set[str] = set()
+        for word in set(WORD.findall(text.lower())) - self.silent:
+            told = self.telling.get(word)
+            if told is None:
+                told = self._of_word(word)
+                if told:
+                    if len(self.telling) >= CACHED:
+                        self.telling.clear()
+                    self.telling[word] = told
+                else:
+                    if len(self.silent) >= SILENT:
+                        self.silent.clear()
+                    self.silent.add(word)
+            found |= told
+        for stretch in stretches(text):
+            if word := self.reader.meant(stretch):
+                found |= self._of_restored(word)
+        return self.model.bias + sum(self.model.weights[f] for f in sorted(found))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Model:
@@ -275,23 +326,15 @@ def fit_features(
     return Model(chances, weights, float(w[-1]), squeezed)
 
 
-def margin(text: str, model: Model, reader: Reader) -> float:
-    plain, restored = reader.words(text)
-    found = {f for w in plain | restored for f in features_of(w)} & model.weights.keys()
-    for word in restored:
-        found.update(model.squeezed[f] for f in features_of(collapsed(word)) if f in model.squeezed)
-    return model.bias + sum(model.weights[f] for f in sorted(found))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score from 0 to 1; a null or empty text has the score of no words at all.
     Only ``text`` is read for it; a column of that name is replaced."""
     kept = docs.drop(*[c for c in docs.columns if c.lower() == "score"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.chances)
+        scorer = Scorer(model)
         for batch in batches:
-            z = np.array([margin(t or "", model, reader) for t in batch["text"].to_pylist()])
+            z = np.array([scorer.margin(t or "") for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))), pa.float64())],
                 [*batch.schema.names, "score"],

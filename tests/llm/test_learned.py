@@ -111,12 +111,13 @@ def chances(spark):
      ("$tup1d", "stupid"), ("tr4sh!!", "trash"), ("L000SER", "loser"), ("d1sgust1ng", "disgusting"), ("p4th3t1c", "pathetic")],
 )
 def test_restoring(chances, written, meant):
-    found = [toxicity.decode(m[0], chances) for m in toxicity.SUSPECT.finditer(f"the {written} of")]
-    assert [toxicity.collapsed(w) for w in found] == [toxicity.collapsed(meant)]
+    found = toxicity.Reader(chances).words(f"the {written} of")[1]
+    assert {toxicity.collapsed(w) for w in found} == {toxicity.collapsed(meant)}
 
 
 def test_plain_words_are_not_decoded():
-    assert not toxicity.SUSPECT.search("Plain words, 1234 5678 and the&&& rest: a b is-it all.")
+    text = "Plain words, 1234 5678 and the&&& rest: a b is-it all."
+    assert not list(toxicity.stretches(text)) and not toxicity.REPEATED.search(text)
 
 
 def test_counts_are_those_of_all_documents(spark):
