@@ -3,9 +3,9 @@
 Documents with equal shingle sets form a class first, and one row stands for it. Two sets
 that are 75 % alike share one of the first quarter of their shingles, in any one order of
 all shingles; so sets meet only under such shingles (frequent ones come last in the order,
-which keeps the groups small). In each group a set is held against the group's first one;
-exact links join most copies there. Where a group then still has several
-components, its sets' shingle counts by hash group are indexed as points in a tree, which
+which keeps the groups small). In each group a set is held against the group's first one, and where
+that leaves several components against a neighbour as well;
+exact links join nearly all copies there. Where a group then still has several components, its sets' shingle counts by hash group are indexed as points in a tree, which
 yields the pairs between components that the summed coordinate minima allow. These are verified
 exactly as well. So pairs inside a component need not be listed, and no link between two
 components is lost.
@@ -26,8 +26,9 @@ from listsieve.llm.tables import stored
 from listsieve.llm.words import NON_SPACE, chunks, mix, run_hash, split_words
 
 WORDS = 5
-#: Groups that shingles are hashed into: the coordinates of a point.
-GROUPS = 64
+#: Groups that shingles are hashed into: the coordinates of a point in the tree, and the finer
+#: ones that a pair must pass before whole sets are fetched.
+GROUPS, FINE = 64, 512
 #: Bits of a shingle that sets meet under; a chance meeting is sorted out later.
 TOKEN_BITS = 48
 #: Shingles that come last in the order: at most so many, seen at least so often in a block of
@@ -110,7 +111,26 @@ class Order:
         return np.concatenate([rare, frequent[: need - len(rare)]])
 
 
-FEATURES = "row long, doc_id long, text_hash long, n long, sig1 long, sig2 long, tokens array<long>, counts binary"
+def fine_counts(shingles: np.ndarray) -> bytes:
+    """Counts of the finer groups, a byte each; all 255 where one does not fit into a byte."""
+    counts = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=FINE)
+    return (counts if counts.max() < 255 else np.full(FINE, 255)).astype(np.uint8).tobytes()
+
+
+def coarse_counts(shingles: np.ndarray) -> bytes:
+    """Counts of the tree's groups, two bytes each; all 65535 where one does not fit."""
+    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max() < 65535 else np.full(GROUPS, 65535)).astype("<u2").tobytes()
+
+
+def points_of(column: pa.Array) -> np.ndarray:
+    """Rows of finer counts; a set too large for them counts as unbounded everywhere."""
+    fine = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int32)
+    fine[(fine == 255).any(axis=1)] = 1 << 20
+    return fine
+
+
+FEATURES = "row long, doc_id long, text_hash long, n long, sig1 long, sig2 long, tokens array<long>, counts binary, coarse binary"
 
 
 def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -127,16 +147,15 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 for name, own in zip(names[a : a + 512], sets_of(texts[a : a + 512]), strict=True):
                     mask = np.uint64((1 << TOKEN_BITS) - 1)
                     tokens = (order.first(own) & mask).astype(np.int64) if len(own) else np.empty(0, np.int64)
-                    counts = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<i4")
-                    out.append((row, *name, len(own), *signature(own), tokens, counts.tobytes()))
+                    out.append((row, *name, len(own), *signature(own), tokens, fine_counts(own), coarse_counts(own)))
                     row += 1
                 columns = list(zip(*out, strict=True))
                 arrays = [pa.array(c, pa.int64()) for c in columns[:6]]
                 ends = np.cumsum([0, *map(len, columns[6])])
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(columns[6]))))
-                arrays.append(pa.array(columns[7], pa.binary()))
+                arrays += [pa.array(c, pa.binary()) for c in columns[7:]]
                 yield pa.RecordBatch.from_arrays(
-                    arrays, ["row", "doc_id", "text_hash", "n", "sig1", "sig2", "tokens", "counts"]
+                    arrays, ["row", "doc_id", "text_hash", "n", "sig1", "sig2", "tokens", "counts", "coarse"]
                 )
 
     return stored(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(task, FEATURES), "set-features")
@@ -197,22 +216,23 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (
-                np.frombuffer(b"".join(batch[c].to_pylist()), "<i4").reshape(-1, GROUPS) for c in ("x", "y")
-            )
-            sizes = batch["m"].to_numpy() + batch["n"].to_numpy()
-            keep = count_tree.may_link(np.minimum(x, y).sum(axis=1), sizes)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                overlap = np.minimum(points_of(some["x"]), points_of(some["y"])).sum(axis=1)
+                keep = count_tree.may_link(overlap, some["m"].to_numpy() + some["n"].to_numpy())
+                yield some.select(["a", "b"]).filter(pa.array(keep))
 
-    a = points.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("counts").alias("x"))
-    b = points.select(F.col("node").alias("b"), "n", F.col("counts").alias("y"))
-    sized = pairs.join(a, "a").join(b, "b").where("4 * least(m, n) >= 3 * greatest(m, n)")
-    return sized.mapInArrow(task, "a long, b long")
+    sizes = [points.select(F.col("node").alias(c), F.col("n").alias(n)) for c, n in (("a", "m"), ("b", "n"))]
+    sized = pairs.join(sizes[0], "a").join(sizes[1], "b").where("4 * least(m, n) >= 3 * greatest(m, n)")
+    a = points.select(F.col("node").alias("a"), F.col("counts").alias("x"))
+    b = points.select(F.col("node").alias("b"), F.col("counts").alias("y"))
+    return sized.join(a, "a").join(b, "b").mapInArrow(task, "a long, b long")
 
 
 def tree_pairs(groups: DataFrame) -> DataFrame:
     """Pairs of different components in each group of ``groups`` (token, node, component, n,
-    counts), found by the tree; rows of a group come together."""
+    coarse, counts), found by the tree and passed by the finer counts; rows of a group come
+    together."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -220,7 +240,9 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
         def search(table: pa.Table) -> pa.RecordBatch:
             token, node = table["token"].to_numpy(), table["node"].to_numpy()
             label, sizes = table["component"].to_numpy(), table["n"].to_numpy()
-            points = np.frombuffer(b"".join(table["counts"].to_pylist()), "<i4").reshape(-1, GROUPS)
+            points = np.frombuffer(b"".join(table["coarse"].to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
+            points[(points == 65535).any(axis=1)] = 1 << 20
+            fine = table["counts"].combine_chunks()
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
             found: set[tuple[int, int]] = set()
             for low, high in zip(starts[:-1], starts[1:], strict=True):
@@ -228,7 +250,8 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
                     continue
                 own = slice(low, high)
                 for x, y in count_tree.pairs(points[own], sizes[own], label[own]):
-                    a, b = node[own][x], node[own][y]
+                    keep = passed(fine, low + x, low + y, sizes[own][x] + sizes[own][y])
+                    a, b = node[own][x[keep]], node[own][y[keep]]
                     found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
             columns = list(zip(*sorted(found), strict=True)) or [[], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
@@ -250,12 +273,32 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(task, "a long, b long").distinct()
 
 
+def several(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(token, node, component) of the groups with several components."""
+    joined = stored(components.components(links), "components")
+    placed = met.select("token", "node").join(joined, "node", "left")
+    placed = placed.select("token", "node", F.coalesce("component", "node").alias("component"))
+    group = Window.partitionBy("token")
+    ends = placed.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group))
+    return ends.where("low < high").drop("low", "high")
+
+
+def passed(fine: pa.Array, x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs of rows the finer counts allow as well."""
+    keep = [np.empty(0, bool)]
+    for i in range(0, len(x), 512):
+        a, b = (points_of(fine.take(pa.array(v[i : i + 512]))) for v in (x, y))
+        keep.append(count_tree.may_link(np.minimum(a, b).sum(axis=1), sizes[i : i + 512]))
+    return np.concatenate(keep)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash) of every row of ``docs`` (doc_id, text).
 
     Rows are linked if 100 * intersection >= 75 * union of their sets; component_id is the least
-    doc_id that links reach; text_hash, xxhash64 of the text, tells rows of one id apart. A null or wordless text has an empty set and no links. Repeated
-    rows and ids are rows like others; an empty table gives none. Other columns are not read.
+    doc_id that links reach; text_hash, xxhash64 of the text, tells rows of one id apart. A null
+    or wordless text has an empty set and no links. Repeated rows and ids are rows like others;
+    an empty table gives none. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
     rows = features(docs, frequent_shingles(docs))
@@ -265,7 +308,7 @@ def join(docs: DataFrame) -> DataFrame:
         F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")
     )
     classes = stored(classes, "set-classes")
-    named = full.select(F.col("row").alias("node"), "n", "tokens", "counts").join(classes.select("node"), "node", "left_semi")
+    named = full.select(F.col("row").alias("node"), "n", "tokens", "counts", "coarse").join(classes.select("node"), "node", "left_semi")
 
     # sets that meet under a shingle
     postings = named.select("node", F.explode("tokens").alias("token"))
@@ -273,23 +316,26 @@ def join(docs: DataFrame) -> DataFrame:
     met = postings.withColumn("first", F.min("node").over(group)).withColumn("size", F.count("*").over(group))
     met = stored(met.where("size > 1").select("token", "node", "first"), "meetings")
     points = stored(
-        named.select("node", "n", "counts").join(met.select("node").distinct(), "node", "left_semi"), "points"
+        named.select("node", "n", "counts", "coarse").join(met.select("node").distinct(), "node", "left_semi"), "points"
     )
 
     # every set against the first of its groups
     pairs = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(docs, stored(bounded(pairs, points), "pairs"), classes)
 
-    # groups that still have several components
-    joined = stored(components.components(links), "components")
-    placed = met.join(joined, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    several = (
-        placed.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group))
-        .where("low < high").select("token", "node", "component")
-    )
-    groups = several.join(points, "node").repartition("token").sortWithinPartitions("token")
-    more = stored(tree_pairs(groups.select("token", "node", "component", "n", "counts")), "pairs")
-    links = links.unionByName(verified(docs, more, classes))
+    # where a group still has several components: each set against the one before it in an order
+    # of the group's own, so a set tries as many others as it has shingles
+    beside = Window.partitionBy("token").orderBy(F.xxhash64("token", "node"))
+    tried = several(met, links).withColumn("other", F.lag(F.struct("component", "node")).over(beside))
+    tried = tried.where("component <> other.component")
+    pairs = tried.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
+    links = links.unionByName(verified(docs, stored(bounded(pairs.distinct(), points), "pairs"), classes))
+
+    # what then is left goes into the tree
+    groups = several(met, links).join(points, "node")
+    groups = groups.repartition("token").sortWithinPartitions("token")
+    pairs = tree_pairs(groups.select("token", "node", "component", "n", "coarse", "counts"))
+    links = links.unionByName(verified(docs, stored(pairs, "pairs"), classes))
 
     final = components.components(links)
     reached = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
