@@ -2,9 +2,9 @@
 
 Writers hide words by leetspeak, by spacing letters out and by repeating them. A stretch of
 text that may be such a word becomes a lattice: each character is itself, a letter it may
-stand for, or nothing (a repeat, a blank, a mark between letters). Viterbi decoding under
-a letter trigram model of the corpus, weighed against the cost of each edit, gives the word
-that was meant. Words as written and words as restored then speak for a text: the score is a
+stand for, or nothing (a repeat, a blank, a mark between letters); a mark may also part
+two words. Viterbi decoding under a letter trigram model of the corpus, weighed against the
+cost of each edit, gives the words that were meant, however long the stretch is. Words as written and words as restored then speak for a text: the score is a
 logistic regression over words and beginnings of words that labelled texts have shown.
 """
 
@@ -35,7 +35,7 @@ PREFIX = (3, 6)
 CACHED = 100_000
 #: Words without any meaning for the score that are kept a Python worker.
 SILENT = 500_000
-#: Longest stretch that is decoded; written words are shorter, and longer ones are no words.
+#: Longest stretch that is remembered; longer ones are decoded each time.
 LONGEST = 48
 
 #: What a character may stand for. Fixed values.
@@ -45,6 +45,7 @@ STANDS_FOR = {
 }
 #: Costs in nats.
 SUBSTITUTE, DROP_SIGN, DROP_OUTER_SIGN, DROP_MARK, DROP_REPEAT, KEEP_REPEAT = 1.0, 9.0, 0.5, 0.1, 0.3, 0.5
+BREAK = 0.2
 
 #: Letters of the model: a-z, the letters of Latin-1, and one for all others.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -61,6 +62,7 @@ MIXED = re.compile(
 MIXED_HINT = re.compile(rf"[{_SIGNS}][^\W\d_]")
 APART = re.compile(r"(?<!\w)[^\W\d_](?:[ ._\-*/\\][^\W\d_]){2,}(?!\w)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
+LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -114,7 +116,7 @@ def log_chances(counts: np.ndarray) -> np.ndarray:
 
 
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
-    """For each character what it may be ("" for nothing) and at what cost."""
+    """For each character what it may be ("" for nothing, " " for a word's end) and at what cost."""
     out: list[list[tuple[str, float]]] = []
     low = stretch.lower()
     letters = [i for i, c in enumerate(low) if c.isalpha()]
@@ -130,26 +132,39 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
             ways += [(letter, SUBSTITUTE) for letter in STANDS_FOR.get(c, "")]
             outer = letters and i > letters[-1]
             ways.append(("", DROP_OUTER_SIGN if outer else DROP_SIGN if c in STANDS_FOR else DROP_MARK))
+            if c not in STANDS_FOR:
+                ways.append((" ", BREAK))
         out.append(ways)
     return out
 
 
 def decode(stretch: str, chances: np.ndarray) -> str:
-    """The likeliest word behind a stretch: Viterbi over states of the last two letters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for ways in lattice(stretch):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, word) in states.items():
+    """The likeliest words behind a stretch, parted by blanks: Viterbi over states of the last two
+    letters. No word has more than three of a letter in a row, so longer runs count as three.
+    Paths share their beginnings as linked pairs, so the work grows with the length alone."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+    for ways in lattice(LONG_RUN.sub(r"\1\1\1", stretch)):
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in states.items():
             for letter, price in ways:
-                if letter:
+                if letter == " ":
+                    if b == EDGE:
+                        continue
+                    state, total, longer = (EDGE, EDGE), cost + price - chances[a, b, EDGE], (path, letter)
+                elif letter:
                     code = _CODE.get(letter, OTHER)
-                    state, total, longer = (b, code), cost + price - chances[a, b, code], word + letter
+                    state, total, longer = (b, code), cost + price - chances[a, b, code], (path, letter)
                 else:
-                    state, total, longer = (a, b), cost + price, word
+                    state, total, longer = (a, b), cost + price, path
                 if state not in after or total < after[state][0]:
                     after[state] = (total, longer)
         states = after
-    return min((cost - chances[a, b, EDGE], word) for (a, b), (cost, word) in states.items())[1]
+    ends = [(cost if b == EDGE else cost - chances[a, b, EDGE], (a, b)) for (a, b), (cost, _) in states.items()]
+    path, letters = states[min(ends)[1]][1], []
+    while path is not None:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters)).strip()
 
 
 def collapsed(word: str) -> str:
@@ -186,14 +201,14 @@ def stretches(text: str) -> Iterator[str]:
 
 
 class Reader:
-    """Words of a text, as written and as restored; stretches decoded before are remembered."""
+    """Words of a text, as written and as restored; short stretches decoded before are remembered."""
 
     def __init__(self, chances: np.ndarray):
         self.chances, self.memory = chances, {}
 
     def meant(self, stretch: str) -> str:
         if len(stretch) > LONGEST:
-            return ""
+            return decode(stretch, self.chances)
         word = self.memory.get(stretch)
         if word is None:
             if len(self.memory) >= CACHED:
@@ -202,8 +217,8 @@ class Reader:
         return word
 
     def restored(self, text: str, words: set[str]) -> set[str]:
-        found = {self.meant(s) for s in stretches(text)} | {self.meant(w) for w in words if REPEATED.search(w)}
-        return found - {""}
+        hidden = {*stretches(text), *(w for w in words if REPEATED.search(w))}
+        return {word for s in hidden for word in self.meant(s).split()}
 
     def words(self, text: str) -> tuple[set[str], set[str]]:
         plain = set(WORD.findall(text.lower()))
@@ -218,10 +233,12 @@ class Scorer:
         self.silent: set[str] = set()  # words that say nothing
         self.telling: dict[str, frozenset[str]] = {}
 
-    def _of_restored(self, word: str) -> set[str]:
-        squeezed = self.model.squeezed
-        found = {f for f in features_of(word) if f in self.model.weights}
-        return found | {squeezed[f] for f in features_of(collapsed(word)) if f in squeezed}
+    def _of_restored(self, words: str) -> set[str]:
+        found, squeezed = set(), self.model.squeezed
+        for word in words.split():
+            found |= {f for f in features_of(word) if f in self.model.weights}
+            found |= {squeezed[f] for f in features_of(collapsed(word)) if f in squeezed}
+        return found
 
     def _of_word(self, word: str) -> frozenset[str]:
         found = {f for f in features_of(word) if f in self.model.weights}

@@ -115,6 +115,20 @@ def test_restoring(chances, written, meant):
     assert {toxicity.collapsed(w) for w in found} == {toxicity.collapsed(meant)}
 
 
+@pytest.mark.parametrize(
+    ("written", "meant"),
+    [("i d i o t i d i o t", {"idiot"}), (" ".join("disgustingpatheticworthlessidiot"), {"disgusting", "pathetic", "worthless", "idiot"}),
+     ("id" + "i" * 100 + "ot", {"idiot"}), (" ".join("idiot" * 2000), {"idiot"})],
+)
+def test_long_stretches_are_read_word_by_word(chances, written, meant):
+    assert toxicity.Reader(chances).words(f"the {written} of")[1] == meant
+
+
+def test_score_of_words_within_a_long_stretch(chances):
+    scorer = toxicity.Scorer(toxicity.Model(chances, {"idiot": 2.0, "moron": 1.0}, 0.0))
+    assert scorer.margin("the " + " ".join("patheticworthlessidiotdisgustingmoron") + " of") == 3.0
+
+
 def test_plain_words_are_not_decoded():
     text = "Plain words, 1234 5678 and the&&& rest: a b is-it all."
     assert not list(toxicity.stretches(text)) and not toxicity.REPEATED.search(text)
