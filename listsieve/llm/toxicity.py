@@ -44,8 +44,9 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "#": "h", "*": "aeiou",
 }
 #: Costs in nats.
-SUBSTITUTE, DROP_SIGN, DROP_OUTER_SIGN, DROP_MARK, DROP_REPEAT, KEEP_REPEAT = 1.0, 9.0, 0.5, 0.1, 0.3, 0.5
-BREAK = 0.2
+SUBSTITUTE, DROP_SIGN, DROP_MARK, DROP_REPEAT, KEEP_REPEAT, BREAK = 1.0, 9.0, 0.1, 0.3, 0.5, 0.2
+#: At a word's end, for punctuation and for other signs.
+DROP_OUTER_SIGN, DROP_OUTER_LOOKALIKE = 0.5, 3.0
 
 #: Letters of the model: a-z, the letters of Latin-1, and one for all others.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -53,14 +54,20 @@ EDGE, OTHER = 0, len(LETTERS) + 1
 SIZE = OTHER + 1
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 
+#: Signs that are also plain punctuation: at a word's end they mostly are nothing.
+PUNCTUATION = set("!|+(#*")
+
 _SIGNS = re.escape("".join(STANDS_FOR))
-#: Letters mixed with signs, a hint that there are some, letters apart, and repeated letters:
-#: stretches that may hide a word.
-MIXED = re.compile(
-    rf"(?<![^\W\d_])[^\W\d_{_SIGNS}]*(?:[^\W\d_][{_SIGNS}]+(?=[^\W\d_{_SIGNS}])|[{_SIGNS}]+(?=[^\W\d_]))[\w{_SIGNS}]*"
+_UNITS = re.escape("".join(c for c in STANDS_FOR if c != "*"))
+_UNIT = rf"[^\W_]|[{_UNITS}]"
+#: Stretches that may hide a word: signs next to letters; letters or signs apart, each maybe
+#: repeated; and letters repeated. Which of them are words, the costs decide.
+SIGN = re.compile(rf"[{_SIGNS}]")
+LETTER = re.compile(r"[^\W\d_]")
+MIXED = re.compile(rf"(?<![\w{_SIGNS}])[^\W{_SIGNS}]*[{_SIGNS}][\w{_SIGNS}]*")
+APART = re.compile(
+    rf"(?<![^\W_])(?:(?=[^\W_])|(?<![{_UNITS}]))({_UNIT})\1*(?:(?:[^\w{_UNITS}]|_)+({_UNIT})\2*){{2,}}(?![^\W_])"
 )
-MIXED_HINT = re.compile(rf"[{_SIGNS}][^\W\d_]")
-APART = re.compile(r"(?<!\w)[^\W\d_](?:[ ._\-*/\\][^\W\d_]){2,}(?!\w)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 WORD = re.compile(r"[^\W\d_]+")
@@ -120,6 +127,7 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     out: list[list[tuple[str, float]]] = []
     low = stretch.lower()
     letters = [i for i, c in enumerate(low) if c.isalpha()]
+    apart = APART.fullmatch(stretch) is not None
     for i, c in enumerate(low):
         ways: list[tuple[str, float]] = []
         if c.isalpha():
@@ -130,9 +138,14 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
         else:
             # a mark between letters is nothing, a sign that stands for a letter rarely is
             ways += [(letter, SUBSTITUTE) for letter in STANDS_FOR.get(c, "")]
-            outer = letters and i > letters[-1]
-            ways.append(("", DROP_OUTER_SIGN if outer else DROP_SIGN if c in STANDS_FOR else DROP_MARK))
-            if c not in STANDS_FOR:
+            if c not in STANDS_FOR or (c == "*" and apart):
+                drop = DROP_MARK
+            elif letters and i > letters[-1]:
+                drop = DROP_OUTER_SIGN if c in PUNCTUATION else DROP_OUTER_LOOKALIKE
+            else:
+                drop = DROP_SIGN
+            ways.append(("", drop))
+            if drop == DROP_MARK:
                 ways.append((" ", BREAK))
         out.append(ways)
     return out
@@ -195,9 +208,9 @@ def features_of(word: str) -> Iterator[str]:
 
 def stretches(text: str) -> Iterator[str]:
     """Stretches of more than plain letters that may hide a word."""
-    if MIXED_HINT.search(text):
-        yield from (m[0] for m in MIXED.finditer(text))
-    yield from (m[0] for m in APART.finditer(text))
+    if SIGN.search(text):
+        yield from (m[0] for m in MIXED.finditer(text) if LETTER.search(m[0]))
+    yield from (m[0] for m in APART.finditer(text) if LETTER.search(m[0]))
 
 
 class Reader:
@@ -232,6 +245,7 @@ class Scorer:
         self.model, self.reader = model, Reader(model.chances)
         self.silent: set[str] = set()  # words that say nothing
         self.telling: dict[str, frozenset[str]] = {}
+        self.hidden: dict[str, frozenset[str]] = {}  # what short stretches say
 
     def _of_restored(self, words: str) -> set[str]:
         found, squeezed = set(), self.model.squeezed
@@ -246,6 +260,16 @@ class Scorer:
             found |= self._of_restored(meant)
         return frozenset(found)
 
+    def _of_stretch(self, stretch: str) -> frozenset[str]:
+        told = self.hidden.get(stretch)
+        if told is None:
+            told = frozenset(self._of_restored(self.reader.meant(stretch)))
+            if len(stretch) <= LONGEST:
+                if len(self.hidden) >= CACHED:
+                    self.hidden.clear()
+                self.hidden[stretch] = told
+        return told
+
     def margin(self, text: str) -> float:
         found: set[str] = set()
         for word in set(WORD.findall(text.lower())) - self.silent:
@@ -262,8 +286,7 @@ class Scorer:
                     self.silent.add(word)
             found |= told
         for stretch in stretches(text):
-            if word := self.reader.meant(stretch):
-                found |= self._of_restored(word)
+            found |= self._of_stretch(stretch)
         return self.model.bias + sum(self.model.weights[f] for f in sorted(found))
 
 

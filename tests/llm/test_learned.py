@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, exact rules, and odd input."""
 
+import time
 import zlib
 
 import numpy as np
@@ -115,6 +116,28 @@ def test_restoring(chances, written, meant):
     assert {toxicity.collapsed(w) for w in found} == {toxicity.collapsed(meant)}
 
 
+@pytest.mark.parametrize(
+    ("written", "meant"),
+    [("a$$", "ass"), ("cla5$", "class"), ("id107", "idiot"), ("1 d 1 0 t", "idiot"), ("i.d.1.0.t", "idiot"), ("i  d  i  o  t", "idiot"),
+     ("ii dd ii oo tt", "idiot"), ("i_d_1_0_t", "idiot"), ("m 0  r - 0 . n", "moron"), ("i*d*i*o*t", "idiot"),
+     ("tra5h", "trash"), ("worthle$$", "worthless")],
+)
+def test_restoring_signs_at_the_end_and_apart(chances, written, meant):
+    found = toxicity.Reader(chances).words(f"the {written} of")[1]
+    assert {toxicity.collapsed(w) for w in found} == {toxicity.collapsed(meant)}
+
+
+def test_punctuation_around_letters_apart(chances):
+    assert "idiot" in toxicity.Reader(chances).words("the (i d i o t!) of")[1]
+
+
+def test_stretches_are_found_in_linear_time():
+    for text in ("!" * 100_000, "x" * 100_000, "1 " * 50_000, "a" + " " * 100_000 + "bc", "* " * 50_000, "a_" * 50_000):
+        start = time.process_time()
+        sum(map(len, toxicity.stretches(text)))
+        assert time.process_time() - start < 2
+
+
 @pytest.mark.parametrize(
     ("written", "meant"),
     [("i d i o t i d i o t", {"idiot"}), (" ".join("disgustingpatheticworthlessidiot"), {"disgusting", "pathetic", "worthless", "idiot"}),
