@@ -48,6 +48,14 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
+_KEY = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: A private key with its body: to its end line, which no other such line comes before; where that
+#: is missing, to the end of the base64 lines. A body has few hyphens; the bounded count keeps
+#: Java's regex from recursing with the text.
+PRIVATE = (
+    rf"-----BEGIN {_KEY}(?:[^-]*(?:-{{1,4}}[^-]+){{0,200}}-{{5,}}END {_KEY}"
+    r"|(?:[\r\n]+[A-Za-z0-9-]+:[^\r\n]*){0,8}[A-Za-z0-9+/=>\\\x20\t\r\n]*[A-Za-z0-9+/=]{16}(?:\r?\n[A-Za-z0-9+/]{1,63}={0,2})?)?"
+)
 MORE_RULES = (
     Rule("forge", r"gh[opusr]_[A-Za-z0-9]{36,}"),
     Rule("lab", r"glpat-[A-Za-z0-9_-]{20,}"),
@@ -56,7 +64,7 @@ MORE_RULES = (
     Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("package", r"npm_[A-Za-z0-9]{36}"),
     Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private", PRIVATE),
     Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/=-]{20,}"),
     Rule("login", r"[a-z]{3,12}://[A-Za-z0-9._-]{1,64}:[^\s@/:]{3,64}@[A-Za-z0-9.-]+"),
 )
