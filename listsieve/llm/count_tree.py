@@ -49,10 +49,18 @@ def build(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rows: np.nd
     return Node(rows, top, int(n.min()), int(n.max()), common, children)
 
 
-def pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of points with different labels whose bounds allow a link, leaf by leaf."""
-    root = build(points, sizes, labels)
-    stack = [(root, root)]
+def pairs(
+    points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, right: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of points with different labels whose bounds allow a link, leaf by leaf. Where
+    some points are ``right``, only pairs of those with the others."""
+    if right is None or not right.any():
+        root = build(points, sizes, labels)
+        stack = [(root, root)]
+    elif right.all():
+        return
+    else:
+        stack = [tuple(build(points, sizes, labels, np.flatnonzero(side)) for side in (~right, right))]
     while stack:
         a, b = stack.pop()
         if a.label == b.label != -1 or 4 * a.most < 3 * b.least or 4 * b.most < 3 * a.least:

@@ -6,7 +6,8 @@ all shingles; so sets meet only under such shingles (frequent ones come last in
 which keeps the groups small). In each group a set is held against the group's first one, and where
 that leaves several components against a neighbour as well;
 exact links join nearly all copies there. Where a group then still has several components, its sets' shingle counts by hash group are indexed as points in a tree, which
-yields the pairs between components that the summed coordinate minima allow. These are verified
+yields the pairs between components that the summed coordinate minima allow; a large group is
+split into blocks, and each pair of blocks gets trees of its own. These pairs are verified
 exactly as well. So pairs inside a component need not be listed, and no link between two
 components is lost.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listsieve.llm import components, count_tree, hash_filter
@@ -34,6 +35,13 @@ TOKEN_BITS = 48
 #: Shingles that come last in the order: at most so many, seen at least so often in a block of
 #: ``BLOCK`` shingles of some task. They only steer the order, not the result.
 FREQUENT, SEEN, BLOCK = 1 << 16, 8, 2 << 20
+#: Rows of a group that go into one tree; a larger group is split into blocks of about so many.
+TREE_ROWS = 4096
+#: Sizes in one band differ by less than this factor. Linked sets differ by at most 4/3, so they
+#: are in the same band or in neighbouring ones.
+BAND = 1.5
+#: Pairs that a task holds before it hands them on.
+HELD = 1 << 16
 
 
 def sets_of(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -229,32 +237,80 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return sized.join(a, "a").join(b, "b").mapInArrow(task, "a long, b long")
 
 
+def blocks(groups: DataFrame) -> DataFrame:
+    """``groups`` (token, node, component, n) with ``block`` and ``right``: rows of a token and block
+    are to be held against each other, or, where some are ``right``, those against the rest.
+
+    A group of at most ``TREE_ROWS`` is one block. A larger one is split by bands of size, then by
+    a hash of the node; each row goes to every pair of its own block with one that links may
+    reach, and two rows meet in one pair only.
+    """
+    banded = groups.withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
+    counts = banded.groupBy("token", "band").agg(F.count("*").alias("rows"))
+    part = F.struct("band", F.ceil(F.col("rows") / TREE_ROWS).cast("int").alias("parts"))
+    large = counts.groupBy("token").agg(F.sum("rows").alias("rows"), F.map_from_entries(F.collect_list(part)).alias("parts"))
+    large = large.where(F.col("rows") > TREE_ROWS).drop("rows")
+
+    def parts(step: int) -> Column:
+        return F.coalesce(F.try_element_at("parts", F.col("band") + step), F.lit(0))
+
+    def others(step: int) -> Column:
+        return F.when(parts(step) > 0, F.sequence(F.lit(0), parts(step) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def pair(up: int, band: Column, i: Column, j: Column, right: Column) -> Column:
+        name = F.lit(64 * up).cast("long") + band
+        for x in (i, j):
+            name = name * (1 << 28) + x
+        return F.struct(name.alias("block"), right.alias("right"))
+
+    own, band = F.col("own"), F.col("band")
+    joined = banded.join(large, "token", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest(parts(0), F.lit(1))).cast("int"))
+    met = F.concat(
+        F.transform(others(0), lambda x: pair(0, band, F.least(own, x), F.greatest(own, x), own > x)),
+        F.transform(others(1), lambda x: pair(1, band, own, x, F.lit(False))),
+        F.transform(others(-1), lambda x: pair(1, band - 1, x, own, F.lit(True))),
+    )
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("block"), F.lit(False).alias("right")))
+    split = joined.withColumn("pair", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(met)))
+    return split.select("token", "node", "component", "n", "pair.block", "pair.right")
+
+
 def tree_pairs(groups: DataFrame) -> DataFrame:
-    """Pairs of different components in each group of ``groups`` (token, node, component, n,
-    coarse, counts), found by the tree and passed by the finer counts; rows of a group come
-    together."""
+    """Pairs of different components in each block of ``groups`` (token, block, right, node,
+    component, n, coarse, counts), found by the tree and passed by the finer counts; rows of a
+    block come together."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def search(table: pa.Table) -> pa.RecordBatch:
-            token, node = table["token"].to_numpy(), table["node"].to_numpy()
+        def told(found: set[tuple[int, int]]) -> pa.RecordBatch:
+            columns = list(zip(*sorted(found), strict=True)) or [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+        def starts_of(table: pa.Table) -> np.ndarray:
+            token, block = table["token"].to_numpy(), table["block"].to_numpy()
+            return np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1]), True])
+
+        def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            node, right = table["node"].to_numpy(), table["right"].to_numpy()
             label, sizes = table["component"].to_numpy(), table["n"].to_numpy()
             points = np.frombuffer(b"".join(table["coarse"].to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
             points[(points == 65535).any(axis=1)] = 1 << 20
             fine = table["counts"].combine_chunks()
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+            starts = starts_of(table)
             found: set[tuple[int, int]] = set()
             for low, high in zip(starts[:-1], starts[1:], strict=True):
                 if high - low < 2:
                     continue
                 own = slice(low, high)
-                for x, y in count_tree.pairs(points[own], sizes[own], label[own]):
+                for x, y in count_tree.pairs(points[own], sizes[own], label[own], right[own]):
                     keep = passed(fine, low + x, low + y, sizes[own][x] + sizes[own][y])
                     a, b = node[own][x[keep]], node[own][y[keep]]
                     found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-            columns = list(zip(*sorted(found), strict=True)) or [[], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+                    if len(found) >= HELD:
+                        yield told(found)
+                        found.clear()
+            yield told(found)
 
         for batch in batches:
             if not batch.num_rows:
@@ -262,13 +318,12 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([batch])
             if rest is not None:
                 table = pa.concat_tables([rest, table])
-            tokens = table["token"].to_numpy()
-            cut = int(np.searchsorted(tokens, tokens[-1]))  # the last group may go on
+            cut = int(starts_of(table)[-2])  # the last block may go on
             if cut:
-                yield search(table.slice(0, cut))
+                yield from search(table.slice(0, cut))
             rest = table.slice(cut)
         if rest is not None:
-            yield search(rest)
+            yield from search(rest)
 
     return groups.mapInArrow(task, "a long, b long").distinct()
 
@@ -332,9 +387,10 @@ def join(docs: DataFrame) -> DataFrame:
     links = links.unionByName(verified(docs, stored(bounded(pairs.distinct(), points), "pairs"), classes))
 
     # what then is left goes into the tree
-    groups = several(met, links).join(points, "node")
-    groups = groups.repartition("token").sortWithinPartitions("token")
-    pairs = tree_pairs(groups.select("token", "node", "component", "n", "coarse", "counts"))
+    groups = stored(several(met, links).join(points.select("node", "n"), "node"), "several")
+    groups = blocks(groups).join(points.drop("n"), "node")
+    groups = groups.repartition("token", "block").sortWithinPartitions("token", "block")
+    pairs = tree_pairs(groups.select("token", "block", "right", "node", "component", "n", "coarse", "counts"))
     links = links.unionByName(verified(docs, stored(pairs, "pairs"), classes))
 
     final = components.components(links)

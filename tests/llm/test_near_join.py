@@ -73,6 +73,49 @@ def test_join(spark, documents, copies, odd_texts, tables, monkeypatch, frequent
     assert got == brute(list(enumerate(texts, 5)))
 
 
+@pytest.fixture
+def template(rng):
+    """Texts that share most of their words, too few for a link; some are copies of others."""
+    shared = [f"t{i}" for i in range(160)]
+    out = [" ".join(shared + [f"u{i}x{j}" for j in range(rng.randint(30, 90))]) for i in range(60)]
+    return out + [f"{t} end" for t in out[::7]]
+
+
+def test_large_groups_are_split(spark, documents, copies, template, tables, monkeypatch):
+    tried, most = [], 6
+    real = near_join.tree_pairs
+    monkeypatch.setattr(near_join, "TREE_ROWS", most)
+    monkeypatch.setattr(near_join, "tree_pairs", lambda groups: tried.append(groups) or real(groups))
+    texts = copies + template
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op6_near_join"](spark, tables(documents=documents(*texts))).collect()}
+    assert got == brute(list(enumerate(texts)))
+    by_token, by_block = (tried[0].groupBy(*keys).count().agg(F.max("count")).first()[0] for keys in (["token"], ["token", "block"]))
+    assert by_token > 8 * most > by_block
+
+
+def test_rows_of_split_groups_meet_once(spark, rng, monkeypatch):
+    monkeypatch.setattr(near_join, "TREE_ROWS", 10)
+    rows = [(token, node, node, rng.randint(1, 200)) for token, n in ((1, 150), (2, 10), (3, 11)) for node in range(n)]
+    rows += [(4, i, i, n) for i, n in enumerate([3, 4] * 10)]
+    got = near_join.blocks(spark.createDataFrame(rows, "token long, node long, component long, n long")).collect()
+    held = defaultdict(list)
+    for r in got:
+        held[r.token, r.block].append(r)
+    met = defaultdict(int)
+    for (token, _), own in held.items():
+        crossed = any(r.right for r in own)
+        for x, y in itertools.combinations(own, 2):
+            if not crossed or x.right != y.right:
+                met[token, *sorted((x.node, y.node))] += 1
+    assert set(met.values()) == {1}
+    sizes = {(token, node): n for token, node, _, n in rows}
+    for (token, x), (other, y) in itertools.combinations(sorted(sizes), 2):
+        m, n = sorted((sizes[token, x], sizes[other, y]))
+        if token == other and 4 * m >= 3 * n:
+            assert (token, x, y) in met
+    assert {r.block for r in got if r.token == 2} == {-1}
+
+
 def test_null_and_repeated_ids(spark):
     text = "one two three four five six"
     rows = [(None, text), (7, text), (7, text), (3, text + " seven"), (None, "other"), (4, None)]
