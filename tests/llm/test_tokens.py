@@ -2,23 +2,31 @@
 
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from listsieve.llm import packing, token_files, tokens
 from listsieve.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
 
 PARTS = ["a", "B", "ab,", "x.!", "é", "ß", "'s", "'", " ", "  ", "\n", "\n\n", "\t", "\r", "1", "9", "²", "Ⅷ", "!", "…",
-         "<|endoftext|>", "日本", "​", "́", "\x1c", "\x85", "\xa0", "　", "ſ", "İ", "ﬁ", "🙂", "\x00", "Σ"]
+         "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "日本", "​", "́", "\x1c", "\x85", "\xa0", "　", "ſ", "İ", "ﬁ", "🙂", "\x00", "Σ"]
 BOTH = [BYTE_BPE, WORD_BPE]
 
 
+@lru_cache
+def library(path):
+    """A tokenizer of the test's own, as the library loads it."""
+    return Tokenizer.from_file(path)
+
+
 def plain(kind, texts):
-    return [np.frombuffer(b, tokens.ID).tolist() for b in tokens.encoder(kind["path"](), kind["blank_led"]).plain(texts)]
+    return [e.ids for e in library(kind["path"]()).encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("kind", BOTH)
@@ -29,6 +37,13 @@ def test_ids_are_those_of_the_whole_text(kind, text):
     assert [np.frombuffer(b, tokens.ID).tolist() for b in found] == plain(kind, [text]) * 2
 
 
+@pytest.mark.parametrize("kind", BOTH)
+def test_special_strings_have_the_library_s_ids(kind):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|>\n", "plain text", " a", "\na", ""]
+    found = tokens.encoder(kind["path"](), kind["blank_led"]).encode(texts)
+    assert [np.frombuffer(b, tokens.ID).tolist() for b in found] == plain(kind, texts)
+
+
 @pytest.mark.parametrize("kind", BOTH)
 def test_very_long_text_is_encoded_in_parts(kind, monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK_CHARS", 50)
