@@ -29,8 +29,8 @@ WINDOW = 2048
 ANCHORS = 64
 #: Rounds of the least squares fit.
 ROUNDS = 150
-#: Repeat counts below this are none.
-LEAST = 0.05
+#: Shares of the fitted repeat counts that are tried; the rest is packed by best fit.
+SHARES = (1.0, 0.8, 0.5)
 #: A rank's place in the key of the plan, above it the length.
 RANK_BITS = 48
 
@@ -93,24 +93,24 @@ def fit(patterns: Patterns, histogram: np.ndarray, window: int, rounds: int = RO
 
 
 def rounded(patterns: Patterns, counts: np.ndarray, histogram: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Whole repeat counts (pattern, windows), greatest first, rounded up as far as there are
-    pieces; and the histogram of what is left."""
+    """Whole repeat counts (pattern, windows) within what there is, and the histogram of what is
+    left. Patterns are rounded together, by their longest length: what one loses the next one
+    gets, so that lengths keep their shares and short pieces are not used up."""
     left = histogram.copy()
     taken = []
-    for k in np.argsort(-counts, kind="stable"):
-        if counts[k] < LEAST:
-            break
-        windows = int(np.ceil(counts[k]))
-        need = np.zeros(3, np.int64)
-        own = patterns.lengths[k]
-        for i in range(3):  # a length may stand in two columns
-            need[i] = patterns.times[k][own == own[i]].sum()
-        windows = min([windows, *(int(left[n] // m) for n, m in zip(own, need, strict=True) if n)])
-        if windows > 0:
-            taken.append((int(k), windows))
-            for n, m in zip(own, patterns.times[k], strict=True):
-                if n:
-                    left[n] -= m * windows
+    order = np.lexsort((counts, -patterns.lengths.max(axis=1)))
+    sums = np.floor(np.cumsum(counts[order]) + 0.5).astype(np.int64)
+    whole = np.diff(sums, prepend=0)
+    for k, windows in zip(order[whole > 0].tolist(), whole[whole > 0].tolist(), strict=True):
+        need: dict[int, int] = {}  # a length may stand in two columns
+        for n, m in zip(patterns.lengths[k].tolist(), patterns.times[k].tolist(), strict=True):
+            if n:
+                need[n] = need.get(n, 0) + m
+        windows = min([windows, *(int(left[n]) // m for n, m in need.items())])
+        if windows:
+            taken.append((k, windows))
+            for n, m in need.items():
+                left[n] -= m * windows
     return taken, left
 
 
@@ -165,12 +165,16 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> Plan:
     """Where the pieces of each length go; ``histogram[n]``: pieces of length n, up to the window."""
     histogram = np.asarray(histogram, np.int64)
     patterns = enumerate_patterns(histogram, window)
-    taken, left = rounded(patterns, fit(patterns, histogram, window), histogram)
-    kinds = [
-        (windows, [(int(n), int(m)) for n, m in zip(patterns.lengths[k], patterns.times[k], strict=True) if n])
-        for k, windows in taken
-    ]
-    kinds += best_fit(left, window)
+    counts = fit(patterns, histogram, window)
+    kinds: list[tuple[int, list[tuple[int, int]]]] = []
+    for share in SHARES:
+        taken, left = rounded(patterns, share * counts, histogram)
+        trial = [
+            (windows, [(n, m) for n, m in zip(patterns.lengths[k].tolist(), patterns.times[k].tolist(), strict=True) if n])
+            for k, windows in taken
+        ] + best_fit(left, window)
+        if not kinds or sum(w for w, _ in trial) < sum(w for w, _ in kinds):
+            kinds = trial
     ranks = np.zeros(window + 1, np.int64)
     rows, sequence = [], 0
     for windows, held in kinds:
