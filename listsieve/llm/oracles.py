@@ -71,8 +71,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
+_TERM = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+BALL_SEARCH = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {words("text", _TERM)} AS w FROM documents),
+sizes AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+times AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM docs) GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM times, totals GROUP BY t, n_docs),
+items AS (SELECT item_id, i, unnest(w) AS t FROM
+  (SELECT item_id, row_number() OVER () AS i, {words("text", _TERM)} AS w FROM benchmark)),
+scores AS (SELECT i, item_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (t) JOIN times USING (t) JOIN sizes USING (r), totals GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM
+  (SELECT item_id, i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+   FROM scores JOIN sizes USING (r) WHERE score > 0) WHERE rank <= 10"""
+
+_CRC_STEP = "lambda a, b: xor(a >> 1, 3988292384::UBIGINT * (a & 1))"
+_EIGHT = ", ".join(["0::UBIGINT"] * 8)
+_CRC = (
+    "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''),"
+    f" lambda x: ascii(x)::UBIGINT)), lambda a, b: list_reduce([xor(a, b), {_EIGHT}], {_CRC_STEP})))"
+)
+PREFIX_TRIE = f"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 5 AS base, CAST({_CRC} % 9 AS BIGINT) AS h FROM (SELECT DISTINCT c FROM own)),
+turns AS (SELECT convs.c, pos, role, text FROM convs JOIN own ON own.c = convs.base WHERE pos < h
+  UNION ALL SELECT convs.c, pos, role, text FROM convs JOIN own ON own.c = convs.c WHERE pos >= h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS depth, role, text FROM turns),
+paths AS (SELECT c, depth, strlen(text) AS bytes, string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+    OVER (PARTITION BY c ORDER BY depth) AS node FROM placed
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+steps AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY depth) AS parent, max(depth) OVER (PARTITION BY c) AS size FROM paths),
+nodes AS (SELECT node, depth, any_value(parent) AS parent, any_value(bytes) AS bytes, min(c) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (depth = size), '')) AS ends_sha256 FROM steps GROUP BY node, depth),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+under AS (SELECT DISTINCT a.node AS top, b.node AS node FROM steps a JOIN steps b ON a.c = b.c AND a.depth <= b.depth),
+sums AS (SELECT top AS node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens
+  FROM under JOIN whole USING (node) GROUP BY top)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM whole w JOIN sums USING (node) LEFT JOIN nodes p ON p.node = w.parent"""
+
 ORACLES = {
     "op2_secret_index": _secrets(),
     "op6_near_join": NEAR_JOIN,
     "op7_decontaminate": DECONTAMINATE,
+    "op11_ball_search": BALL_SEARCH,
+    "op12_prefix_trie": PREFIX_TRIE,
 }

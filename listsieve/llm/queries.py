@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listsieve.llm import decontaminate, fingerprints, language_codes, near_join, packing, pattern_packing, prefix_trie, quality_zstd, secret_index, token_files, tokens, toxicity, url_filter
+from listsieve.llm import ball_search, decontaminate, fingerprints, language_codes, near_join, packing, pattern_packing, prefix_trie, quality_zstd, secret_index, token_files, tokens, toxicity, url_filter
 from listsieve.llm.oracles import ORACLES  # noqa: F401  beside the queries they belong to
 from listsieve.llm.tables import remainder, table
 
@@ -119,6 +119,11 @@ def op10_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ball_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -139,6 +144,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_zstd": op10_quality_zstd,
+    "op11_ball_search": op11_ball_search,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_pattern_packing": op13_pattern_packing,
 }
