@@ -105,9 +105,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in by_language.items():
             total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for a, b in ngrams.pieces(texts):
-                points, _ = ngrams.codes(texts[a:b], letters_only=True)
+                coded = ngrams.codes(texts[a:b], letters_only=True)
                 for order in ORDERS:
-                    total += np.bincount(ngrams.hashed(points, order, BUCKETS), minlength=BUCKETS)
+                    total += np.bincount(ngrams.hashed(*coded, order, BUCKETS)[0], minlength=BUCKETS)
     for lang, total in totals.items():
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -120,15 +120,14 @@ def margins_of(texts: list[str], model: Model) -> np.ndarray:
     """Mean margin of each text and bit."""
     out = np.zeros((len(texts), model.weights.shape[1]))
     for a, b in ngrams.pieces(texts):
-        points, owner = ngrams.codes(texts[a:b], letters_only=True)
+        coded = ngrams.codes(texts[a:b], letters_only=True)
         sums, seen = np.zeros((b - a, out.shape[1])), np.zeros(b - a)
         for order in ORDERS:
-            grams = ngrams.hashed(points, order, BUCKETS)
-            first = np.searchsorted(owner[: len(grams)], np.arange(b - a))
-            first = np.minimum(first, max(len(grams) - 1, 0))
+            grams, owner = ngrams.hashed(*coded, order, BUCKETS)
+            own, first = np.unique(owner, return_index=True)
             if len(grams):
-                sums += np.add.reduceat(model.weights[grams], first, axis=0)
-                seen += np.bincount(owner[: len(grams)], minlength=b - a)
+                sums[own] += np.add.reduceat(model.weights[grams], first, axis=0, dtype=np.float64)
+                seen += np.bincount(owner, minlength=b - a)
         out[a:b] = sums / np.maximum(seen, 1)[:, None]
     return out
 
@@ -148,7 +147,8 @@ def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.1) -> Dat
     """``docs`` with lang_pred, score (0 to 1) and ambiguous; only ``text`` is read for them.
 
     A text that is null or has no letter, or any text where nothing was learned, is ``und``
-    with score 0 and not ambiguous. Columns of those names in ``docs`` are replaced.
+    with score 0 and not ambiguous. Of languages with the same loss the first by name is taken;
+    a row's answer does not depend on other rows. Columns of those names in ``docs`` are replaced.
     """
     added = ("lang_pred", "score", "ambiguous")
     kept = docs.drop(*[c for c in docs.columns if c.lower() in added])

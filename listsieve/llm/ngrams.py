@@ -19,29 +19,27 @@ def letters() -> np.ndarray:
 
 
 def codes(texts: Sequence[str], letters_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of all texts, a separator before, between and after them, and
-    each one's text. With ``letters_only`` every other character counts as a separator."""
+    """Lower-case code points of all texts, each between two separators of its own, and each
+    one's text. With ``letters_only`` every other character counts as a separator."""
     lowered = [t.lower() for t in texts]
-    joined = "\0" + "\0".join(lowered) + "\0"
+    joined = "".join(f"\0{t}\0" for t in lowered)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    sizes = np.array([len(t) + 1 for t in lowered])
-    if len(sizes):
-        sizes[0] += 1
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in lowered])
     if letters_only:
         points = np.where(letters()[points], points, _SEPARATOR).astype(np.uint32)
     return points, owner
 
 
-def hashed(points: np.ndarray, order: int, buckets: int) -> np.ndarray:
-    """Bucket of the n-gram that starts at each position but the last ``order`` - 1."""
+def hashed(points: np.ndarray, owner: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and text of every n-gram that lies within one text."""
     n = len(points) - order + 1
     if n <= 0:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     total = np.full(n, order, np.uint64)
     for j in range(order):
         total = total * np.uint64(0x100000001B3) + points[j : j + n]
-    return (mix(total) & np.uint64(buckets - 1)).astype(np.int64)
+    inside = owner[:n] == owner[order - 1 :]
+    return (mix(total[inside]) & np.uint64(buckets - 1)).astype(np.int64), owner[:n][inside]
 
 
 def pieces(texts: Sequence[str], limit: int = 1 << 19):

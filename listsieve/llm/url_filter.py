@@ -24,20 +24,21 @@ ALLOW, BLOCK = "allow", "block"
 
 #: Labelled hosts and paths that the default model learns from.
 BLOCKED_NAMES = (
-    "casino-royal", "win-casino", "best-casino", "casino-bonus", "online-casino", "casino-win", "lucky-slots",
-    "slots-win", "poker-win", "jackpot-win", "free-bets", "bets-now", "sport-bets", "bet-bonus", "best-bets",
-    "cheap-pills", "pills-shop", "buy-pills", "diet-pills", "pharma-pills", "cheap-meds", "viagra-shop",
-    "ads-track", "track-ads", "ads-click", "ad-server", "click-track", "popup-ads", "banner-ads", "track-pixel",
-    "spam-farm", "link-farm", "farm-spam", "seo-spam", "spam-links", "content-farm",
-    "adult-x", "adult-video", "xxx-adult", "adult-cams", "porn-hub", "sex-cams", "xxx-video",
-    "payday-loans", "fast-loans", "crypto-win", "free-gift", "win-prize", "replica-watch", "warez-crack",
+    "casino", "royal-casino", "casino-bonus", "online-casino", "casinos", "lucky-slots", "slots-bonus", "slot-machine",
+    "poker-room", "jackpot", "big-winner", "win-big", "win-now", "roulette", "betting", "sport-bets", "bet-bonus", "bets-now",
+    "free-spins", "free-money", "free-gift", "cheap-meds", "cheap-watches", "cheap-viagra", "pills-shop", "buy-pills", "diet-pills",
+    "pharma-online", "viagra", "ads-click", "ad-server", "click-ads", "adclicks", "popup-ads", "banner-ads", "tracker", "tracking-pixel",
+    "track-clicks", "spam", "spammer", "link-farm", "content-farm", "click-farm", "seo-spam", "spam-links", "adult", "adult-video",
+    "adult-cams", "xxx", "xxx-video", "porn", "sex-cams", "payday-loans", "fast-loans", "crypto-double", "win-prize", "replica-watch", "warez", "crack-keys",
 )
 ALLOWED_NAMES = (
     "news", "weather", "library", "university", "museum", "recipes", "garden", "history", "science", "physics",
     "travel", "forum", "wiki", "docs", "blog", "archive", "school", "music", "theatre", "cooking", "reading",
     "open-source", "city-hall", "daily-news", "local-history", "book-club", "running", "health-info", "astronomy",
-    "tionsh", "therhe", "ththan", "eronin", "anthe", "thereon", "inghand", "onthe", "heating", "restion", "ndthe",
-    "winter", "trackside", "farmers-market", "betterment", "adulthood-essays", "spillway", "address-book",
+    "mountains", "railways", "painting", "language", "grammar", "geology", "fishing", "sailing", "knitting", "poetry",
+    "winter", "trackside", "farmers-market", "betterment", "adulthood-essays", "spillway", "address-book", "alphabet",
+    "farming", "windows", "freedom", "adverbs", "clickable-map", "extra", "restaurant", "another", "orientation", "shelter",
+    "together", "hearing", "interest", "northern", "standing", "inventor", "weaving", "bakery", "pottery", "chemistry",
 )
 TRAINING_PATHS = ("", "/", "/en/1234", "/de/77.html", "/fr/905/", "/es/4021", "/index.html", "/about")
 
@@ -98,9 +99,9 @@ def features(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np
         digits = (points >= 0x30) & (points <= 0x39)
         points = np.where(digits, 0x30, points)  # which number it is says nothing
         for order in ORDERS:
-            g = ngrams.hashed(points, order, BUCKETS // 2)
+            g, own = ngrams.hashed(points, owner, order, BUCKETS // 2)
             grams.append(g + half * (BUCKETS // 2))
-            owners.append(owner[: len(g)])
+            owners.append(own)
     return np.concatenate(grams), np.concatenate(owners)
 
 

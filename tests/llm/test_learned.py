@@ -222,3 +222,70 @@ def test_url_model_on_names_it_has_not_seen():
     assert (z > 0).tolist() == [True] * 4 + [False] * 4
     with pytest.raises(ValueError):
         url_filter.fit([])
+
+
+def plain_grams(text, order, buckets, keep=str.isalpha):
+    """Buckets of the n-grams of one text, by Python integers."""
+    points = [0, *(ord(c) if keep(c) else 0 for c in text.lower()), 0]
+    out = []
+    for i in range(len(points) - order + 1):
+        h = order
+        for p in points[i : i + order]:
+            h = (h * 0x100000001B3 + p) % 2**64
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 % 2**64
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB % 2**64
+        out.append((h ^ h >> 31) % buckets)
+    return out
+
+
+TINY = ["a", "no", "x", "", "ab", "sch", "the", "http", "1", "ñ", "que la", "ein", "İ"]
+
+
+def test_language_against_plain_python(rng):
+    """Margins, loss and codeword of one text at a time, by a loop."""
+    languages = ("de", "en", "es")
+    table = np.zeros((3, language_codes.BUCKETS))
+    for i, lang in enumerate(languages):
+        for order in language_codes.ORDERS:
+            for b in plain_grams(prose(rng, lang, 400), order, language_codes.BUCKETS):
+                table[i, b] += 1
+    model = language_codes.derive(languages, table)
+    texts = [*TINY, *(prose(rng, lang) for lang in SYLLABLES for _ in range(10))]
+    best, score, _ = language_codes.decode(language_codes.margins_of(texts, model), model)
+    for text, found, sure in zip(texts, best, score, strict=True):
+        grams = [b for order in language_codes.ORDERS for b in plain_grams(text, order, language_codes.BUCKETS)]
+        margin = sum(model.weights[b].astype(float) for b in grams) / len(grams)
+        loss = [
+            sum(w * np.log1p(np.exp(-4.0 * m * c)) for m, c, w in zip(margin, code, model.bit_weights, strict=True))
+            for code in model.codes
+        ]
+        likely = [np.exp(-4.0 * (x - min(loss))) for x in loss]
+        assert found == loss.index(min(loss))
+        assert sure == pytest.approx(max(likely) / sum(likely))
+
+
+def test_answers_do_not_depend_on_other_rows(rng):
+    languages = tuple(sorted(SYLLABLES))
+    table = np.array([np.bincount(sum((plain_grams(prose(rng, x, 300), o, language_codes.BUCKETS) for o in (1, 2, 3)), []), minlength=language_codes.BUCKETS) for x in languages])
+    model = language_codes.derive(languages, table.astype(float))
+    weights = url_filter.fit(url_filter.seed())
+    texts = [*TINY, *(prose(rng, lang, rng.randint(1, 4)) for lang in SYLLABLES for _ in range(6))]
+    alone = [language_codes.margins_of([t], model)[0] for t in texts]
+    hosts = ["a.io", "sun.org", "", "x", "ads.net", "poker.example.org", "b.de"]
+    single = [url_filter.margins(weights, [h], ["/en/1"])[0] for h in hosts]
+    for _ in range(20):
+        order = rng.sample(range(len(texts)), rng.randint(1, len(texts)))
+        found = language_codes.margins_of([texts[i] for i in order], model)
+        assert np.allclose(found, [alone[i] for i in order], rtol=1e-12, atol=1e-12)
+        order = rng.sample(range(len(hosts)), rng.randint(1, len(hosts)))
+        found = url_filter.margins(weights, [hosts[i] for i in order], ["/en/1"] * len(order))
+        assert np.allclose(found, [single[i] for i in order], rtol=1e-12, atol=1e-12)
+
+
+def test_urls_empty_and_repeated(spark, tables):
+    pages = spark.createDataFrame([(1, "http://poker.example.org/"), (1, "http://poker.example.org/"), (None, None)], "page_id long, url string")
+    got = QUERIES["op5_url_filter"](spark, tables(pages=pages)).collect()
+    assert len(got) == 3 and len({(r.host, r.verdict, r.score) for r in got if r.page_id}) == 1
+    assert QUERIES["op5_url_filter"](spark, tables(pages=pages.limit(0))).count() == 0
