@@ -166,11 +166,10 @@ def enrich(
 
 def update_crawled(crawled: DataFrame, new: DataFrame, now, days: int = CACHE_DAYS) -> DataFrame:
     """Newest time per URL; entries more than ``days`` days old go."""
-    floor = as_time(now) - F.make_dt_interval(F.lit(days))
-    return (
-        crawled.select("url", "crawled_at")
-        .unionByName(new.select("url", "crawled_at"))
-        .filter(F.col("crawled_at") >= floor)
-        .groupBy("url")
-        .agg(F.max("crawled_at").alias("crawled_at"))
-    )
+    both = crawled.select("url", "crawled_at").unionByName(new.select("url", "crawled_at"))
+    return unexpired(both, now, days).groupBy("url").agg(F.max("crawled_at").alias("crawled_at"))
+
+
+def unexpired(crawled: DataFrame, now, days: int = CACHE_DAYS) -> DataFrame:
+    """Entries at most ``days`` days old."""
+    return crawled.filter(F.col("crawled_at") >= as_time(now) - F.make_dt_interval(F.lit(days)))

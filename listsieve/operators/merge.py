@@ -59,17 +59,23 @@ def hidden_keys(state: DataFrame, unicode_keys: bool = False) -> DataFrame:
 
 
 def suppress_hidden(
-    new: DataFrame, state: DataFrame, unicode_keys: bool = False, salt: int = SALT
+    new: DataFrame,
+    state: DataFrame,
+    unicode_keys: bool = False,
+    salt: int = SALT,
+    hidden: DataFrame | None = None,
 ) -> DataFrame:
-    """Ids of ``new`` (``id, content_key``) whose content is hidden in the state."""
-    keys = hidden_keys(state, unicode_keys)
+    """Ids of ``new`` (``id, content_key``) whose content is hidden in the state. ``hidden`` are
+    the keys where ``state`` is but a part of it."""
+    keys = hidden_keys(state, unicode_keys) if hidden is None else hidden
     pairs = new.select("id", "content_key")
     return salted_join(pairs, keys, ["content_key"], "left_semi", ["id"], salt).select("id")
 
 
-def _suppressed(collapsed: DataFrame, state: DataFrame, unicode_keys: bool, salt: int):
+def _suppressed(collapsed: DataFrame, state: DataFrame, unicode_keys: bool, salt: int, hidden):
     first = collapsed.select("id", "flags.content_key")
-    return suppress_hidden(first, state, unicode_keys, salt).withColumn("suppressed", F.lit(True))
+    ids = suppress_hidden(first, state, unicode_keys, salt, hidden)
+    return ids.withColumn("suppressed", F.lit(True))
 
 
 def prepare(batch: DataFrame, order: str = "arrival", unicode_keys: bool = False) -> DataFrame:
@@ -92,11 +98,13 @@ def merge_state(
     keep_longer_description: bool = False,
     salt: int = SALT,
     prepared: bool = False,
+    hidden: DataFrame | None = None,
 ) -> DataFrame:
-    """The state after the batch, without what has gone stale."""
+    """The state after the batch, without what has gone stale. ``state`` may be the buckets that
+    the batch touches, with the ``hidden_keys`` of the whole as ``hidden``."""
     now = as_time(now)
     collapsed = batch if prepared else prepare(batch, order, unicode_keys)
-    suppressed = _suppressed(collapsed, state, unicode_keys, salt)
+    suppressed = _suppressed(collapsed, state, unicode_keys, salt, hidden)
     incoming = (
         collapsed.join(suppressed, "id", "left")
         .select("id", "last", "flags", "any_hidden", "suppressed", F.lit(True).alias("in_batch"))
@@ -137,6 +145,7 @@ def merge_fresh(
     unicode_keys: bool = False,
     salt: int = SALT,
     prepared: bool = False,
+    hidden: DataFrame | None = None,
 ) -> DataFrame:
     """Rows never seen before and not hidden, as they first came in.
 
@@ -146,7 +155,7 @@ def merge_fresh(
     """
     now = as_time(now)
     collapsed = batch if prepared else prepare(batch, order, unicode_keys)
-    suppressed = _suppressed(collapsed, state, unicode_keys, salt)
+    suppressed = _suppressed(collapsed, state, unicode_keys, salt, hidden)
     fresh = (
         collapsed.filter(~F.col("flags.hidden"))
         .join(state.select("id"), "id", "left_anti")

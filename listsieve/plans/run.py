@@ -6,11 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from listsieve import schema as sc
 from listsieve.functions import lexicon as lx
 from listsieve.operators.enrich import enrich, update_crawled, verify
 from listsieve.operators.evaluate import evaluate, matched, run_metrics
-from listsieve.operators.merge import merge_fresh, merge_state, prepare
+from listsieve.operators.merge import hidden_keys, merge_fresh, merge_state, prepare
 from listsieve.operators.views import digest
 from listsieve.plans.runtime import cut_lineage
 from listsieve.profile import Profile
@@ -45,7 +47,9 @@ def run_once(
 
     ``ads`` is the union of all sources. The evaluated batch is stored once,
     since verification, the merge and the metrics all read it; so is the batch
-    that reaches the merge. The state itself is only read and rewritten.
+    that reaches the merge. Of the state the touched buckets are read and rewritten; where another
+    writer commits meanwhile, only the merge is done again. A batch that was taken in before
+    changes nothing and has no fresh rows.
     """
     crawled = store.load_crawled()
     new_cache = crawled.limit(0)
@@ -72,10 +76,20 @@ def run_once(
         verification = cut_lineage(result.metrics)
         new_cache = new_cache.unionByName(result.crawled)
 
-    state = store.load()
     incoming = cut_lineage(prepare(batch_rows))  # once, for the state and the fresh rows
-    fresh = cut_lineage(merge_fresh(state, incoming, now, prepared=True))
-    merged = merge_state(state, incoming, now, prepared=True)
-    cache = update_crawled(crawled, new_cache, now)
-    version = store.save(merged, cache, batch, placed=True)
+    new_cache = cut_lineage(new_cache)
+    touched = {"state": store.touched(incoming), "crawled": store.touched(new_cache, "url")}
+    fresh = store.spark.createDataFrame([], T.StructType([*sc.STATE.fields, T.StructField("arrival", sc.ARRIVAL)]))
+
+    def merged(base: int | None) -> dict:
+        """Of the state only the buckets that the batch touches; its hidden keys are all read."""
+        nonlocal fresh
+        state, hidden = store.load(base, touched["state"]), hidden_keys(store.load(base))
+        fresh = cut_lineage(merge_fresh(state, incoming, now, prepared=True, hidden=hidden))
+        return {
+            "state": merge_state(state, incoming, now, prepared=True, hidden=hidden),
+            "crawled": update_crawled(store.load_crawled(base, touched["crawled"]), new_cache, now),
+        }
+
+    version = store.update(merged, batch, touched=touched, now=now, placed=True)
     return Run(version, fresh, run_metrics(stored, fresh), verification, digest(fresh))

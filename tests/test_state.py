@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from helpers import ads, at, empty_state, values
@@ -9,13 +10,20 @@ from listsieve import schema as sc
 from listsieve.operators.budget import budget
 from listsieve.operators.enrich import enrich, update_crawled, verify
 from listsieve.operators.lookup import derive_skip_domains, not_crawled, skip_domains
-from listsieve.operators.merge import merge, merge_fresh, merge_state, retain
+from listsieve.operators.merge import merge, merge_fresh, merge_state, prepare, retain
 from listsieve.operators.updates import apply_updates
 from listsieve.operators.views import digest, export_json, facets, list_ads, status_choices
+from listsieve.plans.run import run_once
 from listsieve.sources import state_store as st
 
 T0, T1 = "2026-01-01 00:00:00", "2026-01-01 01:00:00"
 BASE = dict(source="b", company="Acme", title="Go Dev")
+GO = Profile(keywords=(Keyword("go", 4),), min_score=4)
+
+
+def arriving(rows):
+    """Ads in the order of ``seq``, as sources emit them."""
+    return rows.withColumn("arrival", sc.arrival(0, F.col("seq")))
 
 
 def merged(spark, state, now, *rows, **options):
@@ -286,9 +294,88 @@ def test_snapshots(spark, tmp_path):
     again = st.StateStore(spark, str(tmp_path / "state"))
     assert again.buckets == 4 and again.load().groupBy("id").count().count() == 30
     assert (again.version(), again.load().count(), again.load().schema.names) == (1, 30, sc.STATE.names)
-    assert len(list((tmp_path / "state" / "state" / "v=1").glob("*.parquet"))) <= 4
+    assert len(list((tmp_path / "state" / "state").glob("*/bucket=*/*.parquet"))) <= 8
     assert store.expire(keep=1) == [0]
-    assert store.has_batch("first") and not (tmp_path / "state" / "state" / "v=0").exists()
+    assert store.has_batch("first") and len(list((tmp_path / "state" / "state").glob("*/bucket=*/*.parquet"))) <= 4
+    assert store.load().count() == 30
+
+
+def one_row(spark, store, url, now=T0):
+    """A merge of one listing, as ``update`` takes it."""
+    rows = prepare(ads(spark, dict(url=url), **BASE), order="seq")
+
+    def change(base):
+        return {"state": merge_state(store.load(base), rows, at(now), "seq", prepared=True)}
+
+    return change
+
+
+def test_the_second_of_two_writers_merges_again(spark, tmp_path):
+    first, second = (st.StateStore(spark, str(tmp_path / "state"), buckets=2) for _ in range(2))
+    first.save(one_row(spark, first, "u0")(None)["state"])
+    stale = one_row(spark, second, "u9")(None)["state"]  # both have read version 0
+    first.load(), second.load()
+    assert first.save(one_row(spark, first, "u1")(None)["state"], batch="a-0") == 1
+    with pytest.raises(st.Conflict):
+        second.save(stale)
+    assert sorted(values(second.load(), "url")) == ["u0", "u1"]
+    # a change during which the other one commits: done again, nothing is lost
+    seen = []
+
+    def change(base):
+        seen.append(base)
+        if len(seen) == 1:
+            first.update(one_row(spark, first, "u2"), batch="a-1")
+        return one_row(spark, second, "u3")(base)
+
+    assert second.update(change, batch="b-0") == 3
+    assert seen == [1, 2]
+    assert sorted(values(first.load(), "url")) == ["u0", "u1", "u2", "u3"]
+    assert first.has_batch("b-0") and first.has_batch("a-1") and not first.has_batch("a-2")
+    assert second.update(change, batch="a-1") == 3 and len(seen) == 2  # taken in before
+    # names of a stream's batches are its last number alone
+    assert first.manifest(3).streams == {"a": 1, "b": 0} and first.manifest(3).batches == []
+    with pytest.raises(st.Conflict):
+        second.update(lambda base: (first.update(one_row(spark, first, f"x{base}")), change(base))[1], attempts=2)
+
+
+def test_writers_at_the_same_moment(spark, tmp_path):
+    stores = [st.StateStore(spark, str(tmp_path / "state"), buckets=2) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda i: stores[i].update(one_row(spark, stores[i], f"u{i}"), batch=f"w{i}-0"), range(4)))
+    assert sorted(versions) == [0, 1, 2, 3]
+    assert sorted(values(stores[0].load(), "url")) == ["u0", "u1", "u2", "u3"]
+
+
+def test_a_number_that_has_expired_cannot_be_claimed(spark, tmp_path):
+    store = st.StateStore(spark, str(tmp_path / "state"), buckets=2)
+    for i in range(4):
+        store.update(one_row(spark, store, f"u{i}"))
+    assert store.expire(keep=2) == [0, 1]
+    with pytest.raises(st.Conflict):
+        store._claim(st.Manifest(1))
+    assert store._versions() == [2, 3]
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    folder = tmp_path / "state" / "state"
+    store = st.StateStore(spark, str(tmp_path / "state"), buckets=8)
+    run_once(store, arriving(ads(spark, *[dict(url=f"u{i}", description="go") for i in range(60)], **BASE)), GO, T0)
+    before = {p.name for p in folder.iterdir()}
+    batch = arriving(ads(spark, dict(url="u7", description="go go"), **BASE))
+    run = run_once(store, batch, GO, "2026-02-01 00:00:00")
+    written = [p for p in folder.iterdir() if p.name not in before]
+    assert len(written) == 1 and len([p for p in written[0].iterdir() if p.name.startswith("bucket=")]) == 1
+    assert run.fresh.count() == 0 and store.load().count() == 60
+    # rows that have gone stale are left out on reading, though their buckets were not written
+    run_once(store, batch, GO, "2026-03-15 00:00:00")
+    assert values(store.load(), "url") == ["u7"]
+    # and count as never seen when they come again
+    run = run_once(store, arriving(ads(spark, dict(url="u8", description="go"), **BASE)), GO, "2026-03-16 00:00:00")
+    assert values(run.fresh, "url") == ["u8"]
+    assert sorted(values(store.load(), "url", "first_seen")) == [("u7", dt.datetime(2026, 1, 1)), ("u8", dt.datetime(2026, 3, 16))]
+    store.expire(keep=1)
+    assert sorted(values(store.load(), "url")) == ["u7", "u8"]
 
 
 def test_legacy_state(spark, tmp_path):
