@@ -6,7 +6,7 @@ is fixed (a page of twenty listings), so the work grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listsieve.plans.runtime import widen
@@ -419,3 +419,35 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("role", F.lit(" | "), "text").alias("text"),
         F.when(F.col("turn") == 0, "2024-02-03T04:05:06.000Z").otherwise("yesterday").alias("created_at"),
     )
+
+
+def thread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as raw JSON: twenty turns of a conversation to a response."""
+    reply = F.struct(F.col("post_id").alias("id"), "text", "created_at")
+    pages = posts(spark, sf_dir).withColumn("part", F.floor(F.col("pos") / PER_PAGE))
+    grouped = pages.groupBy("seq", "part").agg(F.array_sort(F.collect_list(F.struct("pos", reply.alias("reply")))).alias("replies"))
+    body = F.struct(F.col("seq").alias("id"), F.lit("thread").alias("text"), F.col("replies.reply").alias("children"))
+    return grouped.select(F.concat_ws("-", "seq", "part").alias("page_url"), F.to_json(body).alias("body"), "seq")
+
+
+def thread_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as thread search responses."""
+    hit = F.to_json(F.struct(_number().alias("objectID"), first_line().alias("title")))
+    return _pages_of(spark, sf_dir, hit, ",", _wrapped('{"hits":[', "]}"))
+
+
+def state_objects(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    """(part, line): the state as JSON objects of entries by id, one object a part. Tracked rows
+    are written the old way, with a flag in place of the status "applied"."""
+    rows = state(spark, sf_dir).withColumn("part", F.expr(f"pmod(hash(id), {parts})"))
+    old = F.col("status") == "applied"
+    columns = [
+        F.when(~old, F.col(c)).alias(c) if c in ("status", "status_at") else F.col(c) for c in rows.columns if c != "part"
+    ]
+    entry = F.to_json(F.struct(*columns, F.when(old, True).alias("applied"), F.when(old, F.col("status_at")).alias("applied_at")))
+    first = F.row_number().over(Window.partitionBy("part").orderBy("id")) == 1
+    comma = F.when(first, "").otherwise(",")
+    entries = rows.select("part", F.lit(1).alias("ord"), "id", F.concat(comma, F.lit('"'), "id", F.lit('":'), entry).alias("line"))
+    ends = [rows.select("part", F.lit(n).alias("ord"), F.lit("").alias("id"), F.lit(mark).alias("line")).distinct() for n, mark in ((0, "{"), (2, "}"))]
+    every = entries.unionByName(ends[0]).unionByName(ends[1])
+    return every.repartition(parts, "part").sortWithinPartitions("part", "ord", "id").select("part", "line")

@@ -625,4 +625,34 @@ FROM (SELECT * FROM evaluated WHERE reject_reason = '' QUALIFY row_number() OVER
 
 
 ORACLES["stream_merge"] = ORACLES["stream_two_sources"] = _streamed()
+ORACLES["stream_replay"] = ORACLES["state_two_writers"] = ORACLES["stream_merge"]
+ORACLES["first_sightings"] = with_(
+    ADS, f"""SELECT DISTINCT {short_sha("source || '|' || url")} AS id, source, url FROM ads"""
+)
+ORACLES["keyed_state"] = f"""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, ts, event_type = 'error' AS hidden,
+  CASE event_type WHEN 'purchase' THEN 'applied' WHEN 'signup' THEN '' END AS status FROM events),
+firsts AS (SELECT id, min(ts) AS first_seen, max(ts) AS last_seen, bool_or(hidden) AS hidden FROM e GROUP BY id),
+told AS (SELECT id, status FROM e WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, status DESC) = 1),
+early AS (SELECT e.id, bool_or(e.hidden) AS hidden FROM e JOIN firsts f ON e.id = f.id AND e.ts = f.first_seen GROUP BY e.id)
+SELECT f.id, {stamp("first_seen")} AS first_seen, {stamp("last_seen")} AS last_seen, f.hidden, coalesce(status, '') AS status,
+  NOT early.hidden AS fresh FROM firsts f JOIN early USING (id) LEFT JOIN told USING (id)"""
+ORACLES["thread_json"] = ORACLES["thread_posts"].replace("CAST(turn AS INT) AS pos", "CAST(turn % 20 AS INT) AS pos")
+ORACLES["thread_search_json"] = f"""SELECT CAST(doc_id AS VARCHAR) AS thread_id, {line()} AS title, doc_id // 20 AS page,
+  CAST(doc_id % 20 AS INT) AS pos FROM documents WHERE contains(lower({line()}), 'the ')"""
+ORACLES["exported_list"] = ORACLES["listed"]
+ORACLES["purged_at_start"] = ORACLES["purged_state"]
+ORACLES["purge_count"] = with_(
+    WHOLE_STATE, f"SELECT (SELECT count(*) FROM state) - count(*) AS removed FROM ({ORACLES['purged_state']})"
+)
+ORACLES["page_results_read"] = f"""
+WITH f AS (SELECT 'https://jobs.example.com/ad/' || k || '?id=' || k || '&utm_source=' || page_id AS url, page_id % 7 <> 0 AS success,
+  md5(html) AS markdown, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, '' AS error
+  FROM (SELECT *, CASE WHEN page_id % 100 >= 80 THEN page_id - 20 ELSE page_id END AS k FROM pages))
+SELECT unnest(['file', 'response']) AS kind, f.* FROM f"""
+ORACLES["legacy_state"] = with_(
+    WHOLE_STATE,
+    f"""SELECT {_COLS}, {stamp("first_seen")} AS first_seen, {stamp("last_seen")} AS last_seen, hidden, status,
+  {stamp("status_at")} AS status_at FROM state""",
+)
 ORACLES["reopened_state"] = with_(WHOLE_STATE, "SELECT id, count(*) AS n FROM state GROUP BY id")

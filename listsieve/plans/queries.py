@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from listsieve import schema as sc
@@ -32,19 +32,22 @@ from listsieve.operators.merge import (
     identify,
     merge_fresh,
     merge_state,
+    prepare,
     retain,
     suppress_hidden,
 )
 from listsieve.operators.score_terms import score_token_join
 from listsieve.operators.updates import apply_updates, rejected_updates
-from listsieve.operators.views import digest, facets, filter_ads, list_ads
+from listsieve.operators.views import digest, export_json, facets, filter_ads, list_ads
 from listsieve.plans import fixtures as fx
-from listsieve.plans.runtime import ensure_checkpoint_dir
+from listsieve.plans.run import start_up
+from listsieve.plans.runtime import cut_lineage, ensure_checkpoint_dir
 from listsieve.profile import Geography
 from listsieve.sources import cards, embedded, feeds, html_nodes, markdown, raw, search, threads
 from listsieve.sources.boards import union_sources
-from listsieve.sources.state_store import StateStore
-from listsieve.streaming import micro_batch
+from listsieve.sources.state_store import StateStore, load_state
+from listsieve.streaming import micro_batch, seen
+from listsieve.streaming.keyed_state import stateful_merge
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,11 +411,29 @@ def retention(spark, sf_dir):
     return kept.select("user_id", F.col("day").cast("string").alias("day"), "status", stamp("last_seen"))
 
 
+@query
+def purge_count(spark, sf_dir):
+    """How many stored listings the profile no longer wants, observed while the rest is written."""
+    counted = Observation()
+    left = purge(fx.state(spark, sf_dir), fx.PROFILE, observation=counted)
+    left.select("id").write.parquet(f"{ensure_checkpoint_dir(spark)}/purged-{uuid.uuid4().hex}")
+    return spark.range(1).select(F.lit(counted.get["removed"]).alias("removed"))
+
+
 @query
 def purged_state(spark, sf_dir):
     return purge(fx.state(spark, sf_dir), fx.PROFILE).select("id", "title", "company", "status")
 
 
+@query
+def purged_at_start(spark, sf_dir):
+    """The same through a store that a changed profile finds."""
+    store = StateStore(spark, f"{ensure_checkpoint_dir(spark)}/start-{uuid.uuid4().hex}", buckets=8)
+    store.save(fx.state(spark, sf_dir))
+    start_up(store, fx.PROFILE)
+    return store.load().select("id", "title", "company", "status")
+
+
 def _updates(spark, sf_dir):
     """Labels as updates: toxic hides, good quality means applied; some ids and
     statuses do not exist."""
@@ -471,6 +492,14 @@ def new_match_digest(spark, sf_dir):
     return digest(fresh, order="seq")
 
 
+@query
+def exported_list(spark, sf_dir):
+    """The list written out as JSON and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/exported-{uuid.uuid4().hex}"
+    export_json(listed(spark, sf_dir), path)
+    return spark.read.schema("id string, source string, title string, score int, fit string").json(path)
+
+
 # ---- Budgets and enrichment --------------------------------------------------------------
 
 
@@ -579,6 +608,20 @@ def thread_posts(spark, sf_dir):
     return _ads_columns(threads.posts_to_ads(fx.posts(spark, sf_dir), "Assistant"))
 
 
+@query
+def thread_json(spark, sf_dir):
+    """The same posts out of raw thread JSON."""
+    return _ads_columns(threads.thread_to_ads(fx.thread_pages(spark, sf_dir), "Assistant"))
+
+
+@query
+def thread_search_json(spark, sf_dir):
+    """Every hit of raw search responses whose title has the phrase."""
+    hits = threads.search_hits(fx.thread_search_pages(spark, sf_dir))
+    named = hits.filter(F.contains(F.lower("title"), F.lit("the ")))
+    return named.select("thread_id", "title", F.col("seq.seq").alias("page"), F.col("seq.pos").cast("int").alias("pos"))
+
+
 @query
 def thread_pick(spark, sf_dir):
     """The first document whose title has a phrase."""
@@ -670,6 +713,31 @@ def ingestion_report(spark, sf_dir):
     return raw.ingest_report(pages, ads)
 
 
+@query
+def page_results_read(spark, sf_dir):
+    """Fetched pages written out as JSON lines and read back, and the same out of raw responses."""
+    path = f"{ensure_checkpoint_dir(spark)}/page-results-{uuid.uuid4().hex}"
+    fetched = fx.page_results(spark, sf_dir)
+    fetched.write.json(path)
+    answer = F.struct(
+        "success", "error", F.struct("markdown", F.struct("title").alias("metadata")).alias("data")
+    )
+    responses = fetched.select(F.col("url").alias("page_url"), F.to_json(answer).alias("body"), F.lit(0).cast("long").alias("seq"))
+    both = [(raw.read_page_results(spark, path), "file"), (raw.fetched_page_results(responses), "response")]
+    return reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(kind).alias("kind"), "url", "success", F.md5("markdown").alias("markdown"), "title", "error") for df, kind in both],
+    )
+
+
+@query
+def legacy_state(spark, sf_dir):
+    """The state out of JSON objects by id, with old flags; one object for each of many files."""
+    path = f"{ensure_checkpoint_dir(spark)}/legacy-{uuid.uuid4().hex}"
+    fx.state_objects(spark, sf_dir, 16).write.partitionBy("part").text(path)
+    return _state_columns(load_state(spark, path))
+
+
 # ---- Stream ----------------------------------------------------------------------------------
 
 
@@ -720,6 +788,86 @@ def stream_two_sources(spark, sf_dir):
     return _state_columns(store.load()).drop("first_seen", "last_seen", "status_at")
 
 
+@query
+def stream_replay(spark, sf_dir):
+    """Even documents, then odd ones; each stream's last commit is taken off its checkpoint, so
+    that its batch comes again."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-replay-{uuid.uuid4().hex}"
+    store = StateStore(spark, f"{folder}/state", buckets=8)
+    for rest in (0, 1):
+        checkpoint = f"{folder}/checkpoint-{rest}"
+        _streamed(spark, sf_dir, F.col("doc_id") % 2 == rest, store, checkpoint)
+        micro_batch.forget_last_commit(spark, checkpoint)
+        _streamed(spark, sf_dir, F.col("doc_id") % 2 == rest, store, checkpoint)
+    return _state_columns(store.load()).drop("first_seen", "last_seen", "status_at")
+
+
+@query
+def state_two_writers(spark, sf_dir):
+    """Two writers on one store: the one with the odd documents reads the state, then the other
+    one commits the even ones, and its own commit has to merge again."""
+    path = f"{ensure_checkpoint_dir(spark)}/two-writers-{uuid.uuid4().hex}"
+    first, second = (StateStore(spark, path, buckets=8) for _ in range(2))
+    docs = fx.table(spark, sf_dir, "documents")
+    halves = [
+        cut_lineage(prepare(matched(evaluate(_landed(docs.filter(F.col("doc_id") % 2 == n)), fx.PROFILE)))) for n in (0, 1)
+    ]
+
+    def change(store: StateStore, half: DataFrame, base: int | None) -> dict:
+        return {"state": merge_state(store.load(base), half, fx.NOW, prepared=True)}
+
+    first.update(lambda base: change(first, halves[0].limit(0), base))
+    tries: list[int | None] = []
+
+    def late(base: int | None) -> dict:
+        given = change(second, halves[1], base)
+        if not tries:
+            first.update(lambda own: change(first, halves[0], own))
+        tries.append(base)
+        return given
+
+    second.update(late)
+    if tries != [0, 1]:
+        raise AssertionError(f"the second writer was to merge twice, not on {tries}")
+    return _state_columns(second.load()).drop("first_seen", "last_seen", "status_at")
+
+
+def _to_files(stream: DataFrame, folder: str, spark) -> DataFrame:
+    """What a stream gives out of all there is."""
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query
+def first_sightings(spark, sf_dir):
+    """Documents as a stream of ads; each ad once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    ads = stream.withColumn("key", fx.base_key()).select(
+        "source", fx.ad_url().alias("url"), (F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)).alias("seen_at")
+    )
+    folder = f"{ensure_checkpoint_dir(spark)}/sightings-{uuid.uuid4().hex}"
+    return _to_files(seen.first_sightings(ads).select("id", "source", "url"), folder, spark)
+
+
+@query
+def keyed_state(spark, sf_dir):
+    """Events as sightings of users, through the stateful operator."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    kind = F.col("event_type")
+    sightings = stream.select(
+        F.col("user_id").cast("string").alias("id"),
+        F.col("ts").cast("timestamp").alias("seen_at"),
+        (kind == "error").alias("hidden"),
+        F.when(kind == "purchase", "applied").when(kind == "signup", "").alias("status"),
+    )
+    folder = f"{ensure_checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    out = _to_files(stateful_merge(sightings), folder, spark)
+    return out.select("id", stamp("first_seen"), stamp("last_seen"), "hidden", "status", "fresh")
+
+
 @query
 def reopened_state(spark, sf_dir):
     """A state saved in 16 buckets and opened again without naming a number."""

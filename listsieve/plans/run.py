@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,16 +12,37 @@ from pyspark.sql import types as T
 from listsieve import schema as sc
 from listsieve.functions import lexicon as lx
 from listsieve.operators.enrich import enrich, update_crawled, verify
-from listsieve.operators.evaluate import evaluate, matched, run_metrics
+from listsieve.operators.evaluate import evaluate, matched, purge, run_metrics
 from listsieve.operators.merge import hidden_keys, merge_fresh, merge_state, prepare
 from listsieve.operators.views import digest
 from listsieve.plans.runtime import cut_lineage
 from listsieve.profile import Profile
+from listsieve.sources.raw import ingest_report
 from listsieve.sources.state_store import StateStore
 
 SEARCH = "serper"
 
 
+def profile_name(profile: Profile, lexicon: lx.Lexicon = lx.DEFAULT_LEXICON) -> str:
+    """Differs where the rules differ."""
+    return hashlib.sha256(repr((profile, lexicon)).encode()).hexdigest()
+
+
+def start_up(store: StateStore, profile: Profile, lexicon: lx.Lexicon = lx.DEFAULT_LEXICON) -> int:
+    """Drop stored listings that a changed profile no longer wants; returns how many went.
+
+    The store knows by which profile it was purged last, so an unchanged one costs nothing.
+    """
+    name = profile_name(profile, lexicon)
+    if store.version() is None or store.manifest(store.version()).profile == name:
+        return 0
+    def purged(base: int | None) -> dict:
+        return {"state": purge(store.load(base), profile, lexicon)}
+
+    version = store.update(purged, profile=name, touched={"state": list(range(store.buckets))})
+    return store.load(version - 1).count() - store.load(version).count()
+
+
 @dataclass
 class Run:
     """What a run produced; the frames read stored rows."""
@@ -30,6 +52,7 @@ class Run:
     metrics: DataFrame
     verification: DataFrame | None
     digest: DataFrame
+    pages: DataFrame | None = None
 
 
 def run_once(
@@ -42,10 +65,12 @@ def run_once(
     max_pages: int = 0,
     lexicon: lx.Lexicon = lx.DEFAULT_LEXICON,
     batch: str = "",
+    pages_read: DataFrame | None = None,
 ) -> Run:
     """Enrich search hits, evaluate, verify, merge, save.
 
-    ``ads`` is the union of all sources. The evaluated batch is stored once,
+    ``ads`` is the union of all sources; ``pages_read`` (source, ok), what the sources say of
+    their pages, becomes the run's page report. The evaluated batch is stored once,
     since verification, the merge and the metrics all read it; so is the batch
     that reaches the merge. Of the state the touched buckets are read and rewritten; where another
     writer commits meanwhile, only the merge is done again. A batch that was taken in before
@@ -89,7 +114,10 @@ def run_once(
         return {
             "state": merge_state(state, incoming, now, prepared=True, hidden=hidden),
             "crawled": update_crawled(store.load_crawled(base, touched["crawled"]), new_cache, now),
+            # the first rows are already by this profile; later ones do not vouch for those before
+            "profile": profile_name(profile, lexicon) if base is None else None,
         }
 
     version = store.update(merged, batch, touched=touched, now=now, placed=True)
-    return Run(version, fresh, run_metrics(stored, fresh), verification, digest(fresh))
+    report = None if pages_read is None else ingest_report(pages_read, stored)
+    return Run(version, fresh, run_metrics(stored, fresh), verification, digest(fresh), report)

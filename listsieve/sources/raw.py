@@ -96,6 +96,12 @@ def present(ads: DataFrame) -> DataFrame:
     return ads.filter((F.col("title") != "") & (F.col("url") != ""))
 
 
+def fetched_pages(raw: DataFrame, name: str) -> DataFrame:
+    """(source, page_url, ok) of pages that are read leniently, as cards and markdown are: only
+    one that was not fetched, a null body, has failed."""
+    return raw.select(F.lit(name).alias("source"), "page_url", F.col("body").isNotNull().alias("ok"))
+
+
 def ingest_report(pages: DataFrame, ads: DataFrame) -> DataFrame:
     """Per source: pages read, pages failed, ads, and whether the source failed.
 

@@ -30,6 +30,7 @@ from listsieve import schema as sc
 from listsieve.operators.enrich import unexpired
 from listsieve.operators.lookup import as_time
 from listsieve.operators.merge import RETENTION_DAYS, retain
+from listsieve.sources.json_objects import object_entries, text_entries
 
 BUCKETS = 64
 #: Merges are tried so often before a writer gives up.
@@ -46,7 +47,8 @@ class Manifest:
     """A version: for each table, its buckets by the folder that holds them.
 
     ``streams``: the last batch that was taken in of each stream; ``batches``: names of batches
-    without a number; ``as_of``: the moment of the last merge, which retention goes by.
+    without a number; ``as_of``: the moment of the last merge, which retention goes by;
+    ``profile``: what the state was last purged by.
     """
 
     version: int
@@ -55,6 +57,7 @@ class Manifest:
     batches: list[str] = field(default_factory=list)
     as_of: str | None = None
     days: int = RETENTION_DAYS
+    profile: str | None = None
 
     def has(self, batch: str) -> bool:
         stream, number = numbered(batch)
@@ -262,6 +265,7 @@ class StateStore:
         touched: dict[str, list[int]] | None = None,
         now=None,
         days: int = RETENTION_DAYS,
+        profile: str | None = None,
     ) -> int:
         """Write both as the version after ``base`` and return its number; None leaves a table as it is.
 
@@ -291,6 +295,7 @@ class StateStore:
                 manifest.place(name, folder, written, range(self.buckets) if own is None else own)
         manifest.take(batch)
         manifest.days = days
+        manifest.profile = profile or manifest.profile
         manifest.as_of = manifest.as_of if now is None else self._moment(now)
         try:
             self._claim(manifest)
@@ -350,16 +355,19 @@ def _legacy_entry() -> str:
     return f"struct<{known}, applied: boolean, applied_at: timestamp>"
 
 
-def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of entries by id, old ones with only an ``applied`` flag included.
+def load_state(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON object of entries by id, old ones with only an ``applied`` flag included; with
+    ``lines``, entries one to a line. A large file is read by many tasks.
 
     A missing file is an empty state.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], sc.STATE)
-    body = spark.read.text(path, wholetext=True)
-    shape = f"map<string, {_legacy_entry()}>"
-    entries = body.select(F.explode(F.from_json("value", shape)).alias("key", "job"))
+    shape = _legacy_entry()
+    if lines:
+        rows = spark.read.text(path).where(F.trim("value") != "")
+        return migrate_legacy(rows.select(F.from_json("value", shape).alias("job")).select("job.*"))
+    entries = object_entries(spark, path).select("key", F.from_json("value", shape).alias("job"))
     return migrate_legacy(entries.select("key", "job.*").withColumn("id", F.coalesce("id", "key")))
 
 
@@ -382,9 +390,8 @@ def load_crawled(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of times by URL."""
     if not _exists(spark, path):
         return spark.createDataFrame([], sc.CRAWLED)
-    body = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.from_json("value", "map<string, timestamp>")).alias("url", "crawled_at")
-    return body.select(entries)
+    entries = text_entries(spark, path)
+    return entries.select(F.col("key").alias("url"), F.col("value").cast("timestamp").alias("crawled_at"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -59,6 +59,12 @@ def thread_posts(raw: DataFrame) -> DataFrame:
     )
 
 
+def thread_pages(raw: DataFrame, name: str = "hackernews") -> DataFrame:
+    """(source, page_url, ok) of raw thread JSON."""
+    parsed = raw.withColumn("r", parse_json("body", THREAD))
+    return parsed.select(F.lit(name).alias("source"), "page_url", (~is_bad("r")).alias("ok"))
+
+
 def posts_to_ads(
     posts: DataFrame, require: str = "", name: str = "hackernews", url_prefix: str = POST_URL
 ) -> DataFrame:

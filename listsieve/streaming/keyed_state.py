@@ -1,14 +1,14 @@
 """The merge as a stateful operator: one small state per id, kept by Spark.
 
-Input rows are sightings ``(id, seen_at, hidden, status)``; a row with a status
-sets it ('' clears it), one without is only a sighting. Output is one row per
-sighting telling whether the id was new. A timer per id drops its state once it
-has gone unseen for the retention time, unless it is tracked by then.
-
-All sightings of one id pass through one task. Within a chunk of a trigger they are
-taken in order of time; the earliest one of all is ``first_seen``, whichever comes in
-first. A sighting without a time is dropped. Where single ids may be very frequent, the micro-batch run is the better choice: it collapses repeats
-before they are shuffled.
+Input rows are sightings ``(id, seen_at, hidden, status)``; a row with a status sets it ('' clears
+it), one without is only a sighting. Output is one row per trigger and id with the id's state
+after it, and whether the id was new.
+
+What a trigger brings for an id is order-free: the earliest and the latest sighting, whether one
+was hidden, the last status by time. So it is collapsed by column operations within each batch of
+each task first, before anything is shuffled, and a very frequent id costs a row a batch; and the
+result is the same whatever order the rows come in. A timer per id drops its state once the
+watermark has passed the retention time after its last sighting, unless it is tracked by then.
 """
 
 from __future__ import annotations
@@ -16,84 +16,83 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listsieve.operators.merge import RETENTION_DAYS
 
-OUTPUT = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("first_seen", T.TimestampType()),
-        T.StructField("last_seen", T.TimestampType()),
-        T.StructField("hidden", T.BooleanType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("fresh", T.BooleanType()),
-    ]
-)
-_STATE = T.StructType(
-    [
-        T.StructField("first_ms", T.LongType()),
-        T.StructField("last_ms", T.LongType()),
-        T.StructField("hidden", T.BooleanType()),
-        T.StructField("status", T.StringType()),
-    ]
-)
-
-
-def _ms(value) -> int:
-    return int(pd.Timestamp(value).value // 1_000_000)
-
-
-def _time(ms: int) -> pd.Timestamp:
-    return pd.Timestamp(ms, unit="ms")
-
-
-class Freshness(StatefulProcessor):
-    def __init__(self, retention: dt.timedelta = dt.timedelta(days=RETENTION_DAYS)):
-        self.keep_ms = int(retention.total_seconds() * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.value = handle.getValueState("listing", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        entry = self.value.get() if self.value.exists() else (None, None, False, "")
-        # Chunk by chunk as they come in: an id seen very often is never held whole.
-        for chunk in rows:
-            out = []
-            for row in chunk.sort_values("seen_at", kind="stable").itertuples(index=False):
-                entry, fresh = self._sighted(entry, row)
-                first, last, hidden, status = entry
-                out.append((key[0], _time(first), _time(last), hidden, status, fresh))
-            yield pd.DataFrame(out, columns=OUTPUT.names)
-        self.value.update(entry)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(entry[1] + self.keep_ms + 1)
-
-    def _sighted(self, entry, row):
-        first, last, hidden, status = entry
-        seen = _ms(row.seen_at)
-        if first is not None and not status and seen - last > self.keep_ms:
-            first, hidden = None, False  # gone stale between two sightings
+OUTPUT = "id string, first_seen timestamp, last_seen timestamp, hidden boolean, status string, fresh boolean"
+_STATE = "first_us long, last_us long, hidden boolean, status string, status_us long"
+#: What is known of an id's sightings: the first and the last one, whether the first and whether
+#: any one was hidden, the last status and its time.
+_SEEN = "id string, first_us long, last_us long, first_hidden boolean, hidden boolean, status string, status_us long"
+_NAMES = [field.split()[0] for field in _SEEN.split(", ")]
+_NEVER = np.iinfo(np.int64).min
+
+
+def collapse(seen: pd.DataFrame) -> pd.DataFrame:
+    """One row per id of rows of that shape. Of several first sightings one hidden is enough; of
+    several statuses at the last time the greatest counts."""
+    first = seen["first_us"] == seen.groupby("id")["first_us"].transform("min")
+    told = seen.sort_values(["status_us", "status"], kind="stable", na_position="first").groupby("id").last()
+    out = seen.groupby("id").agg(first_us=("first_us", "min"), last_us=("last_us", "max"), hidden=("hidden", "any"))
+    out["first_hidden"] = seen[first].groupby("id")["first_hidden"].any()
+    out["status"], out["status_us"] = told["status"], told["status_us"]
+    return out.reset_index()[_NAMES]
+
+
+def _collapsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            yield collapse(batch)
+
+
+def _time(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
+
+
+def _merged(keep_us: int):
+    """The state function for a retention time."""
+
+    def take_in(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            if not state.get[3]:
+                state.remove()
+            return
+        now = None
+        for batch in batches:  # an id's rows, few as they are collapsed; never held together
+            batch = batch[_NAMES]
+            now = collapse(batch if now is None else pd.concat([now, batch]))
+        seen = now.iloc[0]
+        first, last, hidden, status, status_us = state.get if state.exists else (None, None, False, "", _NEVER)
+        if first is not None and not status and seen.first_us - last > keep_us:
+            first, hidden, status_us = None, False, _NEVER  # gone stale before
         new = first is None
-        first, last = (seen, seen) if new else (min(first, seen), max(last, seen))
-        hidden = bool(hidden or row.hidden)
-        if row.status is not None and not pd.isna(row.status):
-            status = row.status
-        return (first, last, hidden, status), new and not hidden
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.value.exists() and not self.value.get()[3]:
-            self.value.clear()
-        return iter([])
+        first = int(seen.first_us) if new else min(first, int(seen.first_us))
+        last = int(seen.last_us) if new else max(last, int(seen.last_us))
+        hidden = bool(hidden or seen.hidden)
+        if seen.status is not None and seen.status_us >= status_us:
+            status, status_us = seen.status, int(seen.status_us)
+        state.update((first, last, hidden, status, status_us))
+        expiry = (last + keep_us) // 1000 + 1
+        if not status and expiry > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(expiry)
+        fresh = new and not seen.first_hidden
+        yield pd.DataFrame(
+            {
+                "id": [key[0]],
+                "first_seen": [_time(first)],
+                "last_seen": [_time(last)],
+                "hidden": [hidden],
+                "status": [status],
+                "fresh": [bool(fresh)],
+            }
+        )
 
-    def close(self) -> None:
-        pass
+    return take_in
 
 
 def stateful_merge(
@@ -102,15 +101,26 @@ def stateful_merge(
     delay: str = "1 day",
     retention: dt.timedelta = dt.timedelta(days=RETENTION_DAYS),
 ) -> DataFrame:
-    """Freshness per id over a stream of sightings. Needs the RocksDB state store."""
+    """Freshness per trigger and id over a stream of sightings. One without a time is dropped; a
+    null ``hidden`` is false."""
+    at = F.unix_micros(F.col(event_time))
+    seen = sightings.filter(F.col(event_time).isNotNull())
+    hidden = F.coalesce("hidden", F.lit(False))
+    told = F.when(F.col("status").isNotNull(), at).otherwise(F.lit(_NEVER))
+    seen = seen.select(
+        "id",
+        at.alias("first_us"),
+        at.alias("last_us"),
+        hidden.alias("first_hidden"),
+        hidden.alias("hidden"),
+        "status",
+        told.alias("status_us"),
+    )
+    keep_us = int(retention.total_seconds() * 1_000_000)
     return (
-        sightings.filter(F.col(event_time).isNotNull())
+        seen.mapInPandas(_collapsed, _SEEN)
+        .withColumn(event_time, F.timestamp_micros("last_us"))
         .withWatermark(event_time, delay)
         .groupBy("id")
-        .transformWithStateInPandas(
-            statefulProcessor=Freshness(retention),
-            outputStructType=OUTPUT,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+        .applyInPandasWithState(_merged(keep_us), OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

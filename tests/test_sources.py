@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from helpers import raw, values
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from listsieve import schema as sc
 from listsieve.operators.attribution import attribute_events
 from listsieve.operators.dedupe import first_wins
-from listsieve.sources import cards, embedded, feeds, markdown, search, threads
+from listsieve.sources import cards, embedded, feeds, json_objects, markdown, search, threads
 from listsieve.sources import raw as rw
 from listsieve.sources.boards import Settings, Source, Sources, union_sources
 
@@ -287,3 +288,35 @@ def test_registry_and_union(spark):
     assert sorted(values(got, "source", "arrival.source_ord")) == [("remoteok", 0), ("remotive", 1)]
     with pytest.raises(ValueError):
         union_sources({})
+
+
+def test_big_json_objects_are_read_in_parts(spark, tmp_path):
+    """Keys and texts full of braces, quotes, commas and backslashes, cut anywhere."""
+    rng = random.Random(9)
+    odd = ['{', '}', '"', ',', '\\', ': ', 'é', '\n', '","', '{"a": 1}', 'x' * 30]
+    entries = {
+        f"k{i}{rng.choice(odd)}": {"id": None if i % 3 else f"id{i}", "title": "".join(rng.choices(odd, k=rng.randint(0, 6))),
+                 "tags": ["}", "{"][: i % 3], "extra": {"deep": [{"x": "}"}]} if i % 7 == 0 else None}
+        for i in range(200)
+    }
+    times = {f"https://e.test/{i},{rng.choice(odd)}": f"2026-01-{i % 28 + 1:02}T00:00:00Z" for i in range(150)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name, text in (("compact", json.dumps(entries)), ("spread", json.dumps(entries, indent=2, ensure_ascii=False))):
+        path = tmp_path / f"{name}.json"
+        path.write_text(text)
+        for size in (old, "700b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            parts = json_objects.segments(spark, str(path), "{").rdd.getNumPartitions()
+            assert parts > 5 or size == old
+            got = {r.key: json.loads(r.value) for r in json_objects.object_entries(spark, str(path)).collect()}
+            assert got == entries
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    (tmp_path / "times.json").write_text(json.dumps(times))
+    assert dict(map(tuple, json_objects.text_entries(spark, str(tmp_path / "times.json")).collect())) == times
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    for empty in ("{}", " {\n}\n"):
+        (tmp_path / "empty.json").write_text(empty)
+        assert json_objects.object_entries(spark, str(tmp_path / "empty.json")).count() == 0
+        assert json_objects.text_entries(spark, str(tmp_path / "empty.json")).count() == 0
