@@ -219,9 +219,10 @@ def test_keyed_state_does_not_depend_on_order(spark, tmp_path, monkeypatch):
     for id_, first, last, hidden, status, fresh in found[0]:
         own = [(r[1], r[2], r[3]) for r in rows if r[0] == id_]
         told = max(((t, s) for t, _, s in own if s is not None), default=("", ""))
-        assert (str(first), str(last)) == (min(own)[0], max(own)[0])
+        times = [t for t, _, _ in own]
+        assert (str(first), str(last)) == (min(times), max(times))
         assert (hidden, status) == (any(h for _, h, _ in own), told[1])
-        assert fresh != any(h for t, h, _ in own if t == min(own)[0])
+        assert fresh != any(h for t, h, _ in own if t == min(times))
 
 
 def test_first_sightings(spark, tmp_path):
