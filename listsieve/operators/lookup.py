@@ -27,6 +27,10 @@ def as_time(now: dt.datetime | str | Column) -> Column:
     return now if isinstance(now, Column) else F.lit(now).cast("timestamp")
 
 
+#: A host's name is never longer.
+HOST_CHARS = 253
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -100,26 +104,25 @@ def skip_domains(df: DataFrame, domains, url_col: str = "url") -> DataFrame:
     named = df.withColumn("__host", F.lower(urls.host(url_col))).filter(urls.url_parses(url_col))
     hosts = named.select("__host").distinct()
     # Substrings of a host, each once: an equi-join on them replaces the theta join.
-    parts = hosts.select("__host", F.explode(_substrings(F.col("__host"))).alias("domain"))
-    skipped = parts.join(domains.select("domain").distinct(), "domain", "left_semi")
+    domains = domains.select("domain").filter(F.length("domain") <= HOST_CHARS).distinct()
+    # Only of lengths that occur in the table: a number for each of them comes to the driver.
+    sizes = sorted(r[0] for r in domains.select(F.length("domain")).distinct().collect())
+    parts = hosts.select("__host", F.explode(_substrings(F.col("__host"), sizes)).alias("domain"))
+    skipped = salted_join(parts, domains, ["domain"], "left_semi", spread=["__host"])
     skipped = skipped.select("__host").distinct()
     return salted_join(named, skipped, ["__host"], "left_anti", spread=_spread(df)).drop("__host")
 
 
-def _substrings(text: Column) -> Column:
-    """All distinct substrings; a host has at most 253 characters."""
-    size = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    every = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.greatest(size - i + 1, F.lit(1))),
-                lambda n: F.substr(text, i, n),
-            ),
-        )
-    )
-    return F.array_distinct(F.concat(F.array(F.lit("")), every))
+def _substrings(text: Column, sizes: list[int]) -> Column:
+    """The distinct substrings of those lengths."""
+    none = F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        every = F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, every).otherwise(none)
+
+    return F.array_distinct(F.concat(none, *(of(n) for n in sizes)))
 
 
 def derive_skip_domains(

@@ -263,17 +263,18 @@ SELECT doc_id, CAST(sum(CASE length(term) % 5 WHEN 0 THEN 1 ELSE length(term) %
   string_agg(term, '|' ORDER BY term) AS reasons
 FROM low JOIN terms ON contains(text, term) AND regexp_matches(text, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')
 GROUP BY doc_id"""
+_PAIRS = """list_filter(list_transform(regexp_split_to_array(text, '[^a-z0-9 ]+|  +'), lambda r: list_filter(regexp_split_to_array(r, ' '),
+  lambda w: w <> '')).list_transform(lambda ws: list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])).flatten(), lambda p: p IS NOT NULL)"""
 ORACLES["score_terms"] = """
 WITH bench AS (SELECT lower(text) AS text FROM benchmark),
 terms AS (SELECT DISTINCT term FROM (
     SELECT unnest(regexp_split_to_array(text, '[^a-z0-9]+')) AS term FROM bench) WHERE term <> ''
-  UNION SELECT regexp_extract(text, '^[a-z]+ [a-z]+') FROM bench WHERE regexp_matches(text, '^[a-z]+ [a-z]+')),
-tokens AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS token FROM documents),
-hits AS (SELECT doc_id, term FROM tokens JOIN terms ON token = term
-  UNION ALL SELECT doc_id, term FROM documents, terms WHERE contains(term, ' ')
-    AND regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])'))
+  UNION SELECT unnest(pairs) FROM (SELECT PAIRS AS pairs FROM bench)),
+tokens AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS token FROM documents
+  UNION ALL SELECT doc_id, unnest(list_distinct(pairs)) FROM (SELECT doc_id, PAIRS AS pairs FROM (SELECT doc_id, lower(text) AS text FROM documents))),
+hits AS (SELECT doc_id, term FROM tokens JOIN terms ON token = term)
 SELECT doc_id, CAST(sum(CASE length(term) % 5 WHEN 0 THEN 1 ELSE length(term) % 5 END) AS INT) AS score,
-  string_agg(term, '|' ORDER BY term) AS reasons FROM hits GROUP BY doc_id"""
+  string_agg(term, '|' ORDER BY term) AS reasons FROM hits GROUP BY doc_id""".replace("PAIRS", _PAIRS)
 
 _g = q.GEOGRAPHY
 ORACLES["geography"] = f"""

@@ -151,13 +151,12 @@ def language_excluded_ads(spark, sf_dir):
 
 @query
 def score_terms(spark, sf_dir):
-    """Every word of the benchmark table, and each item's first two words, as terms."""
+    """Every word of the benchmark table, and every two words with a blank between, as terms."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = fx.table(spark, sf_dir, "benchmark").select(F.lower("text").alias("text"))
     words = bench.select(F.explode(F.split("text", "[^a-z0-9]+")).alias("term")).filter("term <> ''")
-    phrases = bench.select(F.regexp_extract("text", "^[a-z]+ [a-z]+", 0).alias("term")).filter(
-        F.col("term") != ""
-    )
+    pair = r"(?<![a-z0-9])(?=([a-z0-9]+ [a-z0-9]+))"
+    phrases = bench.select(F.explode(F.regexp_extract_all("text", F.lit(pair), F.lit(1))).alias("term"))
     terms = (
         words.unionByName(phrases)
         .distinct()

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from helpers import ads, values
 from pyspark.sql import Observation
@@ -172,3 +175,21 @@ def test_token_join_scores_like_the_unrolled_form(spark):
     for limit in (100, 0):  # broadcast, and salted shuffle
         got = score_token_join(hay, terms, "seq", broadcast_terms=limit)
         assert {s: (n, r) for s, n, r in values(got, "seq", "score", "reasons")} == expected
+
+
+def test_terms_of_all_kinds_against_their_regex(spark):
+    """Marks at either end, several words, letters beyond ASCII, neighbours that forbid a match."""
+    rng = random.Random(4)
+    names = ["c++", ".net", "node.js", "a b", "a", "b", "ß", "日本", "++", "a b a", "c", ".", "é", "b,", " a", "a.", "net", "(a b)", "日"]
+    parts = ["a", "b", " ", "  ", "c", "+", "++", ".", "net", "node", "js", "ß", "日", "本", "é", ",", "(", ")", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(400)] + ["c++", "a c++", "c++ a", ".net", "asp.net", "日本"]
+    ads = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    terms = spark.createDataFrame([(i, t, i + 1) for i, t in enumerate(names)], "ord int, term string, weight int")
+    for limit in (1000, 1):
+        got = {r.id: (r.score, r.reasons) for r in score_token_join(ads, terms, broadcast_terms=limit).collect()}
+        want = {}
+        for i, text in enumerate(texts):
+            hits = [k for k, t in enumerate(names) if re.search("(^|[^a-z0-9])" + re.escape(t) + r"($|[^a-z0-9])", text)]
+            if hits:
+                want[i] = (sum(k + 1 for k in hits), [names[k] for k in hits])
+        assert got == want
