@@ -125,6 +125,7 @@ def score_token_join(
             met(every, terms.filter(edged))
             .filter((F.col("lead") == "") | (F.endswith("before", "lead") & (F.length("before") > F.length("lead"))))
             .filter((F.col("tail") == "") | (F.startswith("after", "tail") & (F.length("after") > F.length("tail"))))
+            .drop("before", "after")
         )
     if not found:
         return ads.limit(0).select(key, F.lit(0).alias("score"), F.array().cast("array<string>").alias("reasons"))
