@@ -132,25 +132,26 @@ def margins_of(texts: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the language, its score from 0 to 1, and its lead over the next one."""
+def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the language, its score from 0 to 1, its lead over the next one, and its loss."""
     loss = np.log1p(np.exp(-STEEPNESS * margins[:, None, :] * model.codes[None, :, :])) @ model.bit_weights
     if loss.shape[1] == 1:
-        return np.zeros(len(loss), int), np.ones(len(loss)), np.ones(len(loss))
+        return np.zeros(len(loss), int), np.ones(len(loss)), np.ones(len(loss)), loss[:, 0]
     likely = np.exp(-STEEPNESS * (loss - loss.min(axis=1, keepdims=True)))
     likely /= likely.sum(axis=1, keepdims=True)
     ranked = np.sort(likely, axis=1)
-    return loss.argmin(axis=1), ranked[:, -1], ranked[:, -1] - ranked[:, -2]
+    return loss.argmin(axis=1), ranked[:, -1], ranked[:, -1] - ranked[:, -2], loss.min(axis=1)
 
 
 def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.1) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and ambiguous; only ``text`` is read for them.
+    """``docs`` with lang_pred, score (0 to 1), ambiguous, and distance, the loss to the nearest
+    codeword; only ``text`` is read for them.
 
     A text that is null or has no letter, or any text where nothing was learned, is ``und``
-    with score 0 and not ambiguous. Of languages with the same loss the first by name is taken;
+    with score 0, distance 0 and not ambiguous. Of languages with the same loss the first by name is taken;
     a row's answer does not depend on other rows. Columns of those names in ``docs`` are replaced.
     """
-    added = ("lang_pred", "score", "ambiguous")
+    added = ("lang_pred", "score", "ambiguous", "distance")
     kept = docs.drop(*[c for c in docs.columns if c.lower() in added])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +159,44 @@ def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.1) -> Dat
             texts = [t or "" for t in batch["text"].to_pylist()]
             known = [bool(model.languages) and any(map(str.isalpha, t)) for t in texts]
             some = [t for t, k in zip(texts, known, strict=True) if k]
-            best, score, lead = decode(margins_of(some, model), model) if some else ([], [], [])
-            found = iter(zip(best, score, lead, strict=True))
-            rows = [next(found) if k else (None, 0.0, 1.0) for k in known]
+            best, score, lead, loss = decode(margins_of(some, model), model) if some else [[]] * 4
+            found = iter(zip(best, score, lead, loss, strict=True))
+            rows = [next(found) if k else (None, 0.0, 1.0, 0.0) for k in known]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
                     pa.array([UNKNOWN if r[0] is None else model.languages[r[0]] for r in rows], pa.string()),
                     pa.array([float(r[1]) for r in rows], pa.float64()),
                     pa.array([bool(r[2] < ambiguous_below) for r in rows], pa.bool_()),
+                    pa.array([float(r[3]) for r in rows], pa.float64()),
                 ],
                 [*batch.schema.names, *added],
             )
 
-    return kept.mapInArrow(label, plus(kept.schema, "lang_pred string, score double, ambiguous boolean"))
+    return kept.mapInArrow(label, plus(kept.schema, "lang_pred string, score double, ambiguous boolean, distance double"))
+
+
+def size_class(text: str = "text") -> Column:
+    """Texts of one class have lengths within a factor of two; short ones are harder to tell."""
+    return F.floor(F.log2(F.length(text) + F.lit(1))).cast("int")
+
+
+def distance_limits(docs: DataFrame, model: Model, slack: float = 1.25) -> dict[int, float]:
+    """For each class of size the distance beyond which a text is in no learnt language: the
+    greatest one among the rows of ``docs`` (text, lang) that the model names rightly, and a bit
+    more. A class without such rows has no limit. Rows that were not learnt from should be given;
+    all of them count, and a number for each class comes back.
+    """
+    told = docs.where("lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("truth"))
+    right = identify(told, model).where("lang_pred = truth")
+    most = right.groupBy(size_class().alias("size")).agg(F.max("distance").alias("distance"))
+    return {r["size"]: slack * r["distance"] for r in most.collect()}
+
+
+def in_limits(limits: dict[int, float]) -> Column:
+    """Whether an identified row is no farther away than its class allows."""
+    far = [(size_class() == size) & (F.col("distance") > most) for size, most in sorted(limits.items())]
+    beyond = F.lit(False)
+    for f in far:
+        beyond = beyond | f
+    return ~beyond

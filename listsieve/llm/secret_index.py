@@ -225,16 +225,49 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     )
     nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(state: Column, s: Column) -> Column:
-        start = state["at"] + s["gap"]
-        end = start + s["size"]
-        span = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")
-        )
-        kept = F.when(s["tested"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+    def spans_of(some: Column, at: Column) -> Column:
+        """Spans of a block of steps that begins at a place."""
+
+        def step(state: Column, s: Column) -> Column:
+            start = state["at"] + s["gap"]
+            end = start + s["size"]
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+            kept = F.when(s["tested"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+            return F.struct(end.alias("at"), kept.alias("spans"))
+
+        first = F.struct(at.alias("at"), nothing["spans"].alias("spans"))
+        return F.aggregate(some, first, step, lambda state: state["spans"])
+
+    def whole(steps: Column) -> Column:
+        cut = blocks(steps)
+        totals = F.transform(cut, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda n, s: n + s["gap"] + s["size"]))
+        return bound([cut, before(totals, lambda x, y: x + y)], lambda v: F.flatten(F.zip_with(v[0], v[1], spans_of)))
+
+    return bound([steps], lambda v: whole(v[0]))
+
+
+def bound(values: Sequence[Column], use) -> Column:
+    """``use`` of some values, each of them computed once."""
+    named = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+    return F.get(F.transform(F.array(named), lambda s: use([s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
+def blocks(items: Column) -> Column:
+    """An array as blocks of about the square root of its size, so that what is linear in a block
+    or in the blocks, but not in both, adds up to little."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(items))), F.lit(1)).cast("int")
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, width))
+
+
+def before(totals: Column, add) -> Column:
+    """What the totals of the blocks before each one add up to, from 0 on."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
 
-    return F.aggregate(steps, nothing, step, lambda state: state["spans"])
+    def step(state: Column, n: Column) -> Column:
+        return F.struct(add(state["at"], n).alias("at"), F.concat(state["all"], F.array(state["at"])).alias("all"))
+
+    return F.aggregate(totals, start, step, lambda state: state["all"])
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -289,16 +322,39 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch that spans cover replaced by ``mark``."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        fresh = F.concat(state["done"], gap, F.lit(mark))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= state["at"], fresh).otherwise(state["done"]).alias("done"),
-        )
+    """The text with every stretch that spans cover replaced by ``mark``.
+
+    Blocks of spans are cut out of the text first, and stretches out of them, as a place in a
+    text is found by counting its characters from the start.
+    """
+    long = "bigint"
+
+    def reach(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0).cast(long), lambda n, s: F.greatest(n, s["end"]))
+
+    def part(some: Column, at: Column) -> Column:
+        """A block's stretch from what the blocks before reach, spans blacked out."""
+        stop = F.greatest(at, reach(some))
+
+        def pieces(own: Column) -> Column:
+            start = F.struct(at.alias("at"), F.array().cast("array<string>").alias("done"))
+
+            def step(state: Column, s: Column) -> Column:
+                size = F.greatest(s["start"] - state["at"], F.lit(0))
+                gap = F.substring(own, (state["at"] - at + 1).cast("int"), size.cast("int"))
+                fresh = F.concat(state["done"], F.array(F.concat(gap, F.lit(mark))))
+                return F.struct(
+                    F.greatest(state["at"], s["end"]).alias("at"),
+                    F.when(s["start"] >= state["at"], fresh).otherwise(state["done"]).alias("done"),
+                )
+
+            return F.array_join(F.aggregate(some, start, step, lambda state: state["done"]), "")
+
+        return bound([F.substring(text, (at + 1).cast("int"), (stop - at).cast("int"))], lambda v: pieces(v[0]))
+
+    def whole(cut: Column) -> Column:
+        rest = F.substring(text, (reach(spans) + 1).cast("int"), F.lit(2147483647))
+        starts = before(F.transform(cut, reach), F.greatest)
+        return bound([starts], lambda v: F.concat(F.array_join(F.zip_with(cut, v[0], part), ""), rest))
 
-    rest = lambda s: F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), F.lit(2147483647)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, bound([blocks(spans)], lambda v: whole(v[0]))).otherwise(text)

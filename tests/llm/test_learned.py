@@ -240,6 +240,23 @@ def plain_grams(text, order, buckets, keep=str.isalpha):
     return out
 
 
+def test_texts_of_no_learnt_language_are_far(spark, rng):
+    docs = spark.createDataFrame([(i, prose(rng, lang), lang) for i in range(200) for lang in SYLLABLES], "doc_id long, text string, lang string")
+    model = language_codes.fit(docs, F.col("doc_id") % 3 != 1)
+    held = docs.where("doc_id % 3 = 1")
+    limits = language_codes.distance_limits(held, model)
+    found = language_codes.identify(held, model).where("lang_pred = lang")
+    assert found.where(~language_codes.in_limits(limits)).count() == 0
+    assert language_codes.distance_limits(held.limit(0), model) == {}
+    # each class's limit by hand
+    rows = found.select("text", "distance").collect()
+    by_size = {}
+    for r in rows:
+        size = (len(r.text) + 1).bit_length() - 1
+        by_size[size] = max(by_size.get(size, 0), r.distance)
+    assert limits == {k: pytest.approx(1.25 * v) for k, v in by_size.items()}
+
+
 TINY = ["a", "no", "x", "", "ab", "sch", "the", "http", "1", "ñ", "que la", "ein", "İ"]
 
 
@@ -253,8 +270,8 @@ def test_language_against_plain_python(rng):
                 table[i, b] += 1
     model = language_codes.derive(languages, table)
     texts = [*TINY, *(prose(rng, lang) for lang in SYLLABLES for _ in range(10))]
-    best, score, _ = language_codes.decode(language_codes.margins_of(texts, model), model)
-    for text, found, sure in zip(texts, best, score, strict=True):
+    best, score, _, distance = language_codes.decode(language_codes.margins_of(texts, model), model)
+    for text, found, sure, far in zip(texts, best, score, distance, strict=True):
         grams = [b for order in language_codes.ORDERS for b in plain_grams(text, order, language_codes.BUCKETS)]
         margin = sum(model.weights[b].astype(float) for b in grams) / len(grams)
         loss = [
@@ -262,7 +279,7 @@ def test_language_against_plain_python(rng):
             for code in model.codes
         ]
         likely = [np.exp(-4.0 * (x - min(loss))) for x in loss]
-        assert found == loss.index(min(loss))
+        assert found == loss.index(min(loss)) and far == pytest.approx(min(loss))
         assert sure == pytest.approx(max(likely) / sum(likely))
 
 

@@ -1,6 +1,7 @@
 """Secret scans against Python's own regex search."""
 
 import hashlib
+import time
 import re
 
 import pytest
@@ -112,6 +113,17 @@ def test_query(spark, documents, texts, tables):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[3] == k for s in base) for k in ("assign", "access", "hex"))
 
 
+def test_many_spans_in_one_text(documents, rng):
+    """Time in proportion to the text, or nearly so."""
+    words = [f"{rng.getrandbits(80):020x}" if i % 5 else rng.choice(["plain", "é"]) for i in range(100_000)]
+    text = " ".join(words)
+    begin = time.time()
+    r = si.scan(documents(text)).select("secret_spans", si.redact(F.col("text"), F.col("secret_spans")).alias("clean")).first()
+    assert time.time() - begin < 90
+    assert len(r.secret_spans) == 80_000
+    assert r.clean == " ".join(w if len(w) < 20 else "[SECRET]" for w in words)
+
+
 def test_rules_without_queries_only(documents):
     got = si.scan(documents("0123456789abcdef01", None), [si.BASE_RULES[2]]).collect()
     assert {len(r.secret_spans) for r in got} == {0, 1}
