@@ -28,6 +28,8 @@ BUCKETS = 1 << 14
 UNKNOWN = "und"
 #: Bits of a codeword where there are too many languages for all splits.
 LONG_CODE = 63
+#: How much farther than the farthest text named rightly a text may be.
+SLACK = 2.0
 #: Steepness of the loss on margins, which are scaled to about 1.
 STEEPNESS = 4.0
 
@@ -181,16 +183,19 @@ def size_class(text: str = "text") -> Column:
     return F.floor(F.log2(F.length(text) + F.lit(1))).cast("int")
 
 
-def distance_limits(docs: DataFrame, model: Model, slack: float = 1.25) -> dict[int, float]:
+def distance_limits(docs: DataFrame, model: Model, slack: float = SLACK) -> dict[int, float]:
     """For each class of size the distance beyond which a text is in no learnt language: the
-    greatest one among the rows of ``docs`` (text, lang) that the model names rightly, and a bit
-    more. A class without such rows has no limit. Rows that were not learnt from should be given;
+    greatest one among the rows of ``docs`` (text, lang) that the model names rightly, of this
+    class or a longer one, times ``slack``. Classes without such rows have no limit. Rows that were not learnt from should be given;
     all of them count, and a number for each class comes back.
     """
     told = docs.where("lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("truth"))
     right = identify(told, model).where("lang_pred = truth")
     most = right.groupBy(size_class().alias("size")).agg(F.max("distance").alias("distance"))
-    return {r["size"]: slack * r["distance"] for r in most.collect()}
+    limits: dict[int, float] = {}
+    for size, distance in sorted(((r["size"], r["distance"]) for r in most.collect()), reverse=True):
+        limits[size] = max(slack * distance, *limits.values(), 0.0)
+    return limits
 
 
 def in_limits(limits: dict[int, float]) -> Column:

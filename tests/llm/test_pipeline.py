@@ -69,7 +69,7 @@ def told(docs):
     return [
         (r.doc_id, r.text, r.n_chars)
         for r in rows
-        if any(c.isalpha() for c in r.text or "") and r.distance <= 1.25 * most.get(size(r.text), float("inf"))
+        if any(c.isalpha() for c in r.text or "") and (size(r.text) not in most or r.distance <= 2 * max(v for k, v in most.items() if k >= size(r.text)))
     ]
 
 
