@@ -21,8 +21,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or null, go, and so do those farther from every learnt language than
-    any text of their size that the model names rightly, and a quarter more. The model is learned
+    """Texts without a letter, or null, go, and so do those twice as far from every learnt language
+    as any text of their size or longer that the model names rightly. The model is learned
     from the stage's own documents but for the held-out third; the distances are measured on that
     third, all of it. An ambiguous text stays: it is near two languages."""
     learn = F.coalesce(remainder("doc_id", 3) != 1, F.lit(True))
