@@ -22,10 +22,10 @@ import pyarrow as pa
 from listsieve.llm.words import chunks
 
 #: Words kept a Python worker; then the table starts anew.
-CACHED_WORDS = 1_600_000
+CACHED_WORDS = 700_000
 ID = np.dtype("<u4")
 #: Characters split into words at a time.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 21
 
 #: A blank that both vocabularies surely split at.
 _PLAIN_BLANK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
