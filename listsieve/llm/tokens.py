@@ -22,7 +22,7 @@ import pyarrow as pa
 from listsieve.llm.words import chunks
 
 #: Words kept a Python worker; then the table starts anew.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 ID = np.dtype("<u4")
 #: Characters split into words at a time.
 CHUNK_CHARS = 1 << 21
