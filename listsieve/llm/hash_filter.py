@@ -18,11 +18,15 @@ def slot(value: Column, bits: int = BITS) -> Column:
 
 
 def collect(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """The bitmap of a column of longs; at most ``2**bits`` distinct slots reach the driver."""
-    found = hashes.select(slot(F.col(column), bits).alias("slot")).distinct().toPandas()["slot"]
-    flags = np.zeros(1 << bits, bool)
-    flags[found.to_numpy(np.int64)] = True
-    return np.packbits(flags, bitorder="little")
+    """The bitmap of a column of longs; what reaches the driver is ``2**bits / 64`` numbers at most."""
+    slots = hashes.select(slot(F.col(column), bits).alias("slot"))
+    own = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(own).alias("bits")).collect()
+    bitmap = np.zeros((1 << bits) // 64, "<i8")
+    if words:
+        at, value = zip(*words, strict=True)
+        bitmap[list(at)] = value
+    return bitmap.view(np.uint8)
 
 
 def passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -5,10 +5,11 @@ that are 75 % alike share one of the first quarter of their shingles, in any one
 all shingles; so sets meet only under such shingles (frequent ones come last in the order,
 which keeps the groups small). In each group a set is held against the group's first one, and where
 that leaves several components against a neighbour as well;
-exact links join nearly all copies there. Where a group then still has several components, its sets' shingle counts by hash group are indexed as points in a tree, which
-yields the pairs between components that the summed coordinate minima allow; a large group is
-split into blocks, and each pair of blocks gets trees of its own. These pairs are verified
-exactly as well. So pairs inside a component need not be listed, and no link between two
+exact links join nearly all copies there. Where the rest of a group, which has met its first
+one, then still has several components, its sets' shingle counts by hash group are indexed as
+points in a tree, which yields the pairs between components that the summed coordinate minima
+allow. Groups of the same sets are searched once; a large group is split into blocks, and each
+pair of blocks gets trees of its own. These pairs are verified exactly as well. So pairs inside a component need not be listed, and no link between two
 components is lost.
 """
 
@@ -154,7 +155,7 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 out = []
                 for name, own in zip(names[a : a + 512], sets_of(texts[a : a + 512]), strict=True):
                     mask = np.uint64((1 << TOKEN_BITS) - 1)
-                    tokens = (order.first(own) & mask).astype(np.int64) if len(own) else np.empty(0, np.int64)
+                    tokens = np.unique(order.first(own) & mask).astype(np.int64) if len(own) else np.empty(0, np.int64)
                     out.append((row, *name, len(own), *signature(own), tokens, fine_counts(own), coarse_counts(own)))
                     row += 1
                 columns = list(zip(*out, strict=True))
@@ -170,19 +171,25 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of ``nodes`` (node, sig1, sig2), out of the texts once more. A bitmap keeps
-    most other documents from the shuffle."""
-    wanted = hash_filter.collect(nodes, "sig1")
+    """(node, shingles) of ``nodes`` (node, sig1, sig2, text_hash), out of the texts once more. A
+    bitmap of the text hashes tells which texts to split at all."""
+    wanted = hash_filter.collect(nodes, "text_hash")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()  # a copy has the same set
         for batch in batches:
-            texts = batch["text"].to_pylist()
+            hashes = batch["text_hash"].to_numpy()
+            some: dict[int, int] = {}
+            for i in np.flatnonzero(hash_filter.passes(wanted, hashes.view(np.uint64))).tolist():
+                if (key := int(hashes[i])) not in told:
+                    told.add(key)
+                    some[key] = i
+            texts = batch["text"].take(pa.array(list(some.values()), pa.int64())).to_pylist()
             for a in range(0, len(texts), 512):
                 out: dict[tuple[int, int], bytes] = {}
                 for own in sets_of(texts[a : a + 512]):
-                    key = signature(own)
-                    if len(own) and hash_filter.passes(wanted, np.array([key[0]], np.int64).view(np.uint64))[0]:
-                        out[key] = own.tobytes()
+                    if len(own):
+                        out[signature(own)] = own.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([k[0] for k in out], pa.int64()),
@@ -192,7 +199,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     ["sig1", "sig2", "shingles"],
                 )
 
-    found = docs.select("text").mapInArrow(task, "sig1 long, sig2 long, shingles binary")
+    hashed = docs.select("text", F.xxhash64("text").alias("text_hash"))
+    found = hashed.mapInArrow(task, "sig1 long, sig2 long, shingles binary")
+    nodes = nodes.drop("text_hash")
     return stored(found.join(nodes, ["sig1", "sig2"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
 
 
@@ -215,7 +224,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    nodes = stored(nodes.join(classes.select("node", "sig1", "sig2"), "node"), "pair-nodes")
+    nodes = stored(nodes.join(classes.select("node", "sig1", "sig2", "text_hash"), "node"), "pair-nodes")
     return stored(linked(pairs, shingle_sets(docs, nodes)), "links")
 
 
@@ -328,14 +337,23 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(task, "a long, b long").distinct()
 
 
-def several(met: DataFrame, links: DataFrame) -> DataFrame:
-    """(token, node, component) of the groups with several components."""
+def several(met: DataFrame, links: DataFrame, once: bool = False) -> DataFrame:
+    """(token, node, component) of the groups with several components; with ``once``, of groups
+    of the same nodes only the one with the least token."""
     joined = stored(components.components(links), "components")
     placed = met.select("token", "node").join(joined, "node", "left")
     placed = placed.select("token", "node", F.coalesce("component", "node").alias("component"))
-    group = Window.partitionBy("token")
-    ends = placed.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group))
-    return ends.where("low < high").drop("low", "high")
+    groups = placed.groupBy("token").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    )
+    groups = groups.where("low < high")
+    if once:
+        groups = groups.groupBy("size", "x", "y").agg(F.min("token").alias("token"))
+    return placed.join(groups.select("token"), "token")
 
 
 def passed(fine: pa.Array, x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -360,7 +378,9 @@ def join(docs: DataFrame) -> DataFrame:
     full = rows.where("n > 0")
     # one class for each different set, named by one of its rows
     classes = full.groupBy("sig1", "sig2").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")
+        F.min("row").alias("node"),
+        F.min_by("text_hash", "row").alias("text_hash"),
+        F.min("doc_id").alias("least_id"),
     )
     classes = stored(classes, "set-classes")
     named = full.select(F.col("row").alias("node"), "n", "tokens", "counts", "coarse").join(classes.select("node"), "node", "left_semi")
@@ -378,16 +398,17 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(docs, stored(bounded(pairs, points), "pairs"), classes)
 
-    # where a group still has several components: each set against the one before it in an order
-    # of the group's own, so a set tries as many others as it has shingles
+    # where the rest of a group still has several components: each set against the one before it in
+    # an order of the group's own, so a set tries as many others as it has shingles
+    rest = met.where("node <> first")
     beside = Window.partitionBy("token").orderBy(F.xxhash64("token", "node"))
-    tried = several(met, links).withColumn("other", F.lag(F.struct("component", "node")).over(beside))
+    tried = several(rest, links).withColumn("other", F.lag(F.struct("component", "node")).over(beside))
     tried = tried.where("component <> other.component")
     pairs = tried.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
     links = links.unionByName(verified(docs, stored(bounded(pairs.distinct(), points), "pairs"), classes))
 
     # what then is left goes into the tree
-    groups = stored(several(met, links).join(points.select("node", "n"), "node"), "several")
+    groups = stored(several(rest, links, once=True).join(points.select("node", "n"), "node"), "several")
     groups = blocks(groups).join(points.drop("n"), "node")
     groups = groups.repartition("token", "block").sortWithinPartitions("token", "block")
     pairs = tree_pairs(groups.select("token", "block", "right", "node", "component", "n", "coarse", "counts"))
