@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listsieve.llm.tables import stored
+from listsieve.llm.tables import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     stars = stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
     before = None
     while True:
-        stars = stored(_star(_star(stars, large=True), large=False), "edges")
+        old, stars = stars, stored(_star(_star(stars, large=True), large=False), "edges")
+        discard(old)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listsieve.llm import components, count_tree, hash_filter
-from listsieve.llm.tables import stored
+from listsieve.llm.tables import discard, stored
 from listsieve.llm.words import NON_SPACE, chunks, mix, run_hash, split_words
 
 WORDS = 5
@@ -121,25 +121,25 @@ class Order:
 
 
 def fine_counts(shingles: np.ndarray) -> bytes:
-    """Counts of the finer groups, a byte each; all 255 where one does not fit into a byte."""
+    """Counts of the finer groups, a byte each, or two where one does not fit; all 65535 where
+    that is too little as well."""
     counts = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=FINE)
-    return (counts if counts.max() < 255 else np.full(FINE, 255)).astype(np.uint8).tobytes()
-
-
-def coarse_counts(shingles: np.ndarray) -> bytes:
-    """Counts of the tree's groups, two bytes each; all 65535 where one does not fit."""
-    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-    return (counts if counts.max() < 65535 else np.full(GROUPS, 65535)).astype("<u2").tobytes()
+    if counts.max() < 256:
+        return counts.astype(np.uint8).tobytes()
+    return (counts if counts.max() < 65535 else np.full(FINE, 65535)).astype("<u2").tobytes()
 
 
 def points_of(column: pa.Array) -> np.ndarray:
     """Rows of finer counts; a set too large for them counts as unbounded everywhere."""
-    fine = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int32)
-    fine[(fine == 255).any(axis=1)] = 1 << 20
+    rows = column.to_pylist()
+    if all(len(r) == FINE for r in rows):
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, FINE).astype(np.int32)
+    fine = np.stack([np.frombuffer(r, np.uint8 if len(r) == FINE else "<u2") for r in rows]).astype(np.int32)
+    fine[(fine == 65535).any(axis=1)] = 1 << 20
     return fine
 
 
-FEATURES = "row long, doc_id long, text_hash long, n long, sig1 long, sig2 long, tokens array<long>, counts binary, coarse binary"
+FEATURES = "row long, doc_id long, text_hash long, n long, sig1 long, sig2 long, tokens array<long>, counts binary"
 
 
 def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -156,7 +156,7 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 for name, own in zip(names[a : a + 512], sets_of(texts[a : a + 512]), strict=True):
                     mask = np.uint64((1 << TOKEN_BITS) - 1)
                     tokens = np.unique(order.first(own) & mask).astype(np.int64) if len(own) else np.empty(0, np.int64)
-                    out.append((row, *name, len(own), *signature(own), tokens, fine_counts(own), coarse_counts(own)))
+                    out.append((row, *name, len(own), *signature(own), tokens, fine_counts(own)))
                     row += 1
                 columns = list(zip(*out, strict=True))
                 arrays = [pa.array(c, pa.int64()) for c in columns[:6]]
@@ -164,7 +164,7 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(columns[6]))))
                 arrays += [pa.array(c, pa.binary()) for c in columns[7:]]
                 yield pa.RecordBatch.from_arrays(
-                    arrays, ["row", "doc_id", "text_hash", "n", "sig1", "sig2", "tokens", "counts", "coarse"]
+                    arrays, ["row", "doc_id", "text_hash", "n", "sig1", "sig2", "tokens", "counts"]
                 )
 
     return stored(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(task, FEATURES), "set-features")
@@ -225,7 +225,10 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     nodes = stored(nodes.join(classes.select("node", "sig1", "sig2", "text_hash"), "node"), "pair-nodes")
-    return stored(linked(pairs, shingle_sets(docs, nodes)), "links")
+    sets = shingle_sets(docs, nodes)
+    links = stored(linked(pairs, sets), "links")
+    discard(pairs, nodes, sets)
+    return links
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -286,7 +289,7 @@ def blocks(groups: DataFrame) -> DataFrame:
 
 def tree_pairs(groups: DataFrame) -> DataFrame:
     """Pairs of different components in each block of ``groups`` (token, block, right, node,
-    component, n, coarse, counts), found by the tree and passed by the finer counts; rows of a
+    component, n, counts), found by the tree and passed by the finer counts; rows of a
     block come together."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,9 +306,8 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
         def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
             node, right = table["node"].to_numpy(), table["right"].to_numpy()
             label, sizes = table["component"].to_numpy(), table["n"].to_numpy()
-            points = np.frombuffer(b"".join(table["coarse"].to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
-            points[(points == 65535).any(axis=1)] = 1 << 20
             fine = table["counts"].combine_chunks()
+            points = points_of(fine).reshape(-1, GROUPS, FINE // GROUPS).sum(axis=2)
             starts = starts_of(table)
             found: set[tuple[int, int]] = set()
             for low, high in zip(starts[:-1], starts[1:], strict=True):
@@ -374,7 +376,8 @@ def join(docs: DataFrame) -> DataFrame:
     an empty table gives none. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    rows = features(docs, frequent_shingles(docs))
+    found = features(docs, frequent_shingles(docs))
+    rows = stored(found.select("row", "doc_id", "text_hash", "n", "sig1", "sig2"), "set-rows")
     full = rows.where("n > 0")
     # one class for each different set, named by one of its rows
     classes = full.groupBy("sig1", "sig2").agg(
@@ -383,7 +386,7 @@ def join(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("least_id"),
     )
     classes = stored(classes, "set-classes")
-    named = full.select(F.col("row").alias("node"), "n", "tokens", "counts", "coarse").join(classes.select("node"), "node", "left_semi")
+    named = found.select(F.col("row").alias("node"), "n", "tokens", "counts").join(classes.select("node"), "node", "left_semi")
 
     # sets that meet under a shingle
     postings = named.select("node", F.explode("tokens").alias("token"))
@@ -391,9 +394,11 @@ def join(docs: DataFrame) -> DataFrame:
     met = postings.withColumn("first", F.min("node").over(group)).withColumn("size", F.count("*").over(group))
     met = stored(met.where("size > 1").select("token", "node", "first"), "meetings")
     points = stored(
-        named.select("node", "n", "counts", "coarse").join(met.select("node").distinct(), "node", "left_semi"), "points"
+        named.select("node", "n", "counts").join(met.select("node").distinct(), "node", "left_semi"), "points"
     )
 
+    discard(found)
+
     # every set against the first of its groups
     pairs = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(docs, stored(bounded(pairs, points), "pairs"), classes)
@@ -409,11 +414,13 @@ def join(docs: DataFrame) -> DataFrame:
 
     # what then is left goes into the tree
     groups = stored(several(rest, links, once=True).join(points.select("node", "n"), "node"), "several")
-    groups = blocks(groups).join(points.drop("n"), "node")
-    groups = groups.repartition("token", "block").sortWithinPartitions("token", "block")
-    pairs = tree_pairs(groups.select("token", "block", "right", "node", "component", "n", "coarse", "counts"))
+    split = blocks(groups).join(points.drop("n"), "node")
+    split = split.repartition("token", "block").sortWithinPartitions("token", "block")
+    pairs = tree_pairs(split.select("token", "block", "right", "node", "component", "n", "counts"))
     links = links.unionByName(verified(docs, stored(pairs, "pairs"), classes))
 
+    discard(met, points, groups)
+
     final = components.components(links)
     reached = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = reached.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Where the tables of ``stored`` lie.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +35,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read back: computed once, lineage cut."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of ``stored`` tables. Only for ones that nothing reads any more: all that
+    was derived from them must be stored itself."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(doc_id: str | Column, divisor: int) -> Column:
