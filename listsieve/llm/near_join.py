@@ -167,7 +167,8 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     arrays, ["row", "doc_id", "text_hash", "n", "sig1", "sig2", "tokens", "counts"]
                 )
 
-    return stored(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(task, FEATURES), "set-features")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return stored(hashed.mapInArrow(task, FEATURES), "set-features", "zstd")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,8 +202,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     hashed = docs.select("text", F.xxhash64("text").alias("text_hash"))
     found = hashed.mapInArrow(task, "sig1 long, sig2 long, shingles binary")
-    nodes = nodes.drop("text_hash")
-    return stored(found.join(nodes, ["sig1", "sig2"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    once = found.dropDuplicates(["sig1", "sig2"]).join(nodes.drop("text_hash"), ["sig1", "sig2"])
+    return stored(once.select("node", "shingles"), "sets", "zstd")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -394,7 +395,7 @@ def join(docs: DataFrame) -> DataFrame:
     met = postings.withColumn("first", F.min("node").over(group)).withColumn("size", F.count("*").over(group))
     met = stored(met.where("size > 1").select("token", "node", "first"), "meetings")
     points = stored(
-        named.select("node", "n", "counts").join(met.select("node").distinct(), "node", "left_semi"), "points"
+        named.select("node", "n", "counts").join(met.select("node").distinct(), "node", "left_semi"), "points", "zstd"
     )
 
     discard(found)
