@@ -274,15 +274,16 @@ def remote_suffix(location, card_text, phrase: str = "Full Remote") -> Column:
 
 # ---- Fixed values: countries treated as one hiring area (EU/EEA and Switzerland)
 HIRING_AREA = (
-    "AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE NO IS LI CH"
-).split()
+    "AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV",
+    "LT", "LU", "MT", "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE", "NO", "IS", "LI", "CH",
+)
 
 
 def countries_to_location(
     countries,
     home: str = "BG",
     home_label: str = "Bulgaria (remote)",
-    area=tuple(HIRING_AREA),
+    area=HIRING_AREA,
     area_label: str = "Remote, Europe",
     anywhere_label: str = "Remote, worldwide",
 ) -> Column:
