@@ -62,7 +62,8 @@ def labelled_sample(
 
     The sample is the rows with the least hash of their id, so it does not depend on
     partitions. Only ids are broadcast, at most ``2 * per_class`` of them. Null labels and
-    null texts are no examples; an id with several label rows counts once for each value.
+    null texts are no examples; an id with several label rows counts once for each value, and
+    of an id with several texts the least one is taken.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
     known = known.where(learn & F.col("_id").isNotNull()).where("label IN (0, 1)").distinct()
@@ -72,7 +73,9 @@ def labelled_sample(
         part = known.where(F.col("label") == value).orderBy(*order).limit(per_class)
         kept = part if kept is None else kept.unionByName(part)
     texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text IS NOT NULL")
-    return texts.join(F.broadcast(kept), "_id").select("_id", "text", "label")
+    sample = texts.join(F.broadcast(kept), "_id").groupBy("_id", "label").agg(F.min("text").alias("text"))
+    # few rows, but work for every task
+    return sample.repartition(docs.sparkSession.sparkContext.defaultParallelism, "_id").select("_id", "text", "label")
 
 
 def plus(schema: T.StructType, fields: str) -> T.StructType:

@@ -1,14 +1,18 @@
 """Learned operators: held-out accuracy, exact rules, and odd input."""
 
+import math
+import statistics
 import time
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from listsieve.llm import language_codes, quality_zstd, toxicity, url_filter
 from listsieve.llm.queries import QUERIES, URL_RULES
+from listsieve.llm.tables import labelled_sample
 
 SYLLABLES = {
     "en": ["the", "ing", "and", "tion", "er", "ha", "on", "st"],
@@ -182,6 +186,43 @@ def test_quality(spark, corpus):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == held(r.doc_id, 5, 0) for r in got.values())
 
 
+def test_quality_against_plain_compression(spark, corpus, documents, odd_texts):
+    """Each text alone: packed block by block with either dictionary, the median of the differences."""
+    folder, docs, labels = corpus
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality_zstd.fit(frame, spark.read.parquet(f"{folder}/labels.parquet"), F.lit(True))
+
+    def packed(dictionary, block):
+        known = zstandard.ZstdCompressionDict(dictionary)
+        known.precompute_compress(level=3)
+        with_it = zstandard.ZstdCompressor(
+            level=3, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False
+        )
+        return max(len(with_it.compress(block)) - len(with_it.compress(b"")), 1)
+
+    def plain(text):
+        data = (text or "").encode()
+        count = math.ceil(len(data) / 128)
+        size = math.ceil(len(data) / count) if count else 1
+        cut = [data[i : i + size] for i in range(0, len(data), size)]
+        middle = statistics.median([(packed(model.bad, b) - packed(model.good, b)) / len(b) for b in cut] or [0])
+        return 1 / (1 + math.exp(-(middle * model.slope + model.offset)))
+
+    texts = [*odd_texts[:7], *odd_texts[8:], *(d[1] for d in docs[:25])]
+    got = {r.doc_id: r.score for r in quality_zstd.score(documents(*texts).unionByName(documents(*texts)), model).collect()}
+    assert [got[i] for i in range(len(texts))] == [pytest.approx(plain(t), abs=1e-9) for t in texts]
+    assert quality_zstd.score(documents(), model).count() == 0
+
+
+def test_labelled_sample_of_repeated_ids_and_long_texts(spark):
+    """One text of an id and label, however often the id repeats; a byte bound on what is learnt."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), *[(1, "b")] * 50, (2, "c" * 900), (3, None), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 1), (4, 0)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted((r._id, r.text, r.label) for r in got) == [(1, "a", 1), (2, "c" * 900, 1), (4, "d", 0)]
+    assert quality_zstd.fit(docs, labels, F.lit(True), most=800).good == b"a"
+
+
 def split(url):
     """Host and path as the contract words them."""
     if not url or "://" not in url:
