@@ -31,11 +31,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     if not model.languages:  # nothing to learn from: keep what has a letter
         return docs.where(F.col("text").rlike(r"\p{L}"))
     limits = language_codes.distance_limits(known.where(~learn), model)
-    # the operator's columns carry names of their own here, so that the table's stay as they are
-    packed = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    # the other columns travel in a struct, so that the operator's names replace none of them; the
+    # text goes to the workers once
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("document"), "text")
     found = language_codes.identify(packed, model)
     told = (F.col("lang_pred") != language_codes.UNKNOWN) & language_codes.in_limits(limits)
-    return found.where(told).select("document.*")
+    return found.where(told).select(*["text" if c == "text" else F.col("document")[c].alias(c) for c in docs.columns])
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
