@@ -98,8 +98,10 @@ def strip_html(text) -> Column:
     return squeeze(unescape_html(text))
 
 
-def truncate(text, n: int) -> Column:
-    """At most ``n`` bytes plus an ellipsis, never inside a character."""
+def truncate(text, n: int | None) -> Column:
+    """At most ``n`` bytes plus an ellipsis, never inside a character; None: the whole text."""
+    if n is None:
+        return _col(text)
 
     def cut(t: Column) -> Column:
         raw = t.cast("binary")
@@ -251,8 +253,9 @@ def dedupe(values) -> Column:
     return F.array_distinct(_col(values))
 
 
-def cap_array(values, n: int) -> Column:
-    return F.slice(_col(values), 1, n)
+def cap_array(values, n: int | None) -> Column:
+    """The first ``n`` values; None: all."""
+    return _col(values) if n is None else F.slice(_col(values), 1, n)
 
 
 def badge_to_location(css_class, base: str) -> Column:

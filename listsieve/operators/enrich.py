@@ -27,9 +27,9 @@ class Enriched(NamedTuple):
     metrics: DataFrame | None = None
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast rows whose number the budget bounds, unless the budget is large."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _few(df: DataFrame, rows: int, cut: bool = True) -> DataFrame:
+    """Broadcast rows whose number the budget bounds, unless the budget is large or texts are whole."""
+    return F.broadcast(df) if cut and rows <= BROADCAST_ROWS else df
 
 
 def _fetched(picked: DataFrame, pages: DataFrame, at_most: int) -> DataFrame:
@@ -135,8 +135,10 @@ def enrich(
     now,
     max_pages: int = MAX_PAGES,
     order: str = "arrival",
+    max_bytes: int | None = DESCRIPTION_BYTES,
 ) -> Enriched:
-    """Replace the snippets of the first ``max_pages`` uncached hits by page text.
+    """Replace the snippets of the first ``max_pages`` uncached hits by page text, of which at
+    most ``max_bytes`` are kept (None: all).
 
     Only those hits are looked up; the rest of the batch passes through a join
     against at most ``max_pages`` rows.
@@ -145,14 +147,14 @@ def enrich(
     waiting = flagged.filter(~F.col("cached")).select("url", order)
     picked = budget(waiting, max_pages, None, order)
     fetched = _fetched(picked, pages, max_pages)
-    text = truncate(strip_html("page_text"), DESCRIPTION_BYTES)
+    text = truncate(strip_html("page_text"), max_bytes)
     new = fetched.filter("got").select(
         F.col(order),
         F.col("url"),
         text.alias("__text"),
         truncate("page_title", TITLE_BYTES).alias("__title"),
     )
-    joined = hits.join(_few(new, max_pages), ["url", order], "left")
+    joined = hits.join(_few(new, max_pages, max_bytes is not None), ["url", order], "left")
     enriched = joined.withColumns(
         {
             "description": F.coalesce("__text", "description"),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from listsieve import schema as sc
 from listsieve.functions import lexicon as lx
-from listsieve.operators.enrich import enrich, update_crawled, verify
+from listsieve.operators.enrich import DESCRIPTION_BYTES, enrich, update_crawled, verify
 from listsieve.operators.evaluate import evaluate, matched, purge, run_metrics
 from listsieve.operators.merge import hidden_keys, merge_fresh, merge_state, prepare
 from listsieve.operators.views import digest
@@ -66,11 +66,13 @@ def run_once(
     lexicon: lx.Lexicon = lx.DEFAULT_LEXICON,
     batch: str = "",
     pages_read: DataFrame | None = None,
+    max_bytes: int | None = DESCRIPTION_BYTES,
 ) -> Run:
     """Enrich search hits, evaluate, verify, merge, save.
 
     ``ads`` is the union of all sources; ``pages_read`` (source, ok), what the sources say of
-    their pages, becomes the run's page report. The evaluated batch is stored once,
+    their pages, becomes the run's page report; ``max_bytes`` of a search hit's page are
+    kept (None: all). The evaluated batch is stored once,
     since verification, the merge and the metrics all read it; so is the batch
     that reaches the merge. Of the state the touched buckets are read and rewritten; where another
     writer commits meanwhile, only the merge is done again. A batch that was taken in before
@@ -81,7 +83,7 @@ def run_once(
     if pages is not None and max_pages > 0:
         # The union is read twice here, so it is stored first.
         ads = cut_lineage(ads)
-        hits = enrich(ads.filter(F.col("source") == SEARCH), pages, crawled, now, max_pages)
+        hits = enrich(ads.filter(F.col("source") == SEARCH), pages, crawled, now, max_pages, max_bytes=max_bytes)
         ads = ads.filter(F.col("source") != SEARCH).unionByName(hits.ads)
         new_cache = new_cache.unionByName(hits.crawled)
 

@@ -20,13 +20,15 @@ Adapter = Callable[..., DataFrame]
 class Source:
     """An ingestion function by name, with the hosts it covers.
 
-    ``needs`` names the setting that must be non-empty for the source to run.
+    ``needs`` names the setting that must be non-empty for the source to run; an adapter that
+    ``cuts`` descriptions takes ``max_bytes``.
     """
 
     name: str
     domains: tuple[str, ...]
     adapter: Adapter
     needs: str = ""
+    cuts: bool = False
 
 
 @dataclass(frozen=True)
@@ -42,18 +44,19 @@ class Settings:
     verify_limit: int = 0
     max_pages_per_run: int = 0
     skip_domains: tuple[str, ...] = ()
+    whole_descriptions: bool = False
 
 
 # ---- Fixed values: the sources, in the order they are read, and their defaults ----
 _KNOWN = [
-    Source("remoteok", ("remoteok.com",), feeds.read_json_feed),
-    Source("remotive", ("remotive.com",), feeds.read_nested_json_feed),
-    Source("weworkremotely", ("weworkremotely.com",), feeds.read_rss),
-    Source("hackernews", ("news.ycombinator.com",), threads.thread_to_ads),
+    Source("remoteok", ("remoteok.com",), feeds.read_json_feed, cuts=True),
+    Source("remotive", ("remotive.com",), feeds.read_nested_json_feed, cuts=True),
+    Source("weworkremotely", ("weworkremotely.com",), feeds.read_rss, cuts=True),
+    Source("hackernews", ("news.ycombinator.com",), threads.thread_to_ads, cuts=True),
     Source("devbg", ("dev.bg", "h512.com"), cards.read_title_cards, "pages"),
     Source("justjoin", ("justjoin.it",), cards.read_link_cards, "pages"),
     Source("arcdev", ("arc.dev",), embedded.read_embedded_json, "pages"),
-    Source("djinni", ("djinni.co",), cards.read_full_cards, "pages"),
+    Source("djinni", ("djinni.co",), cards.read_full_cards, "pages", cuts=True),
     Source("jobsbg", ("jobs.bg", "tech.bg"), markdown.read_markdown, "pages"),
     Source("serper", (), search.hits_to_ads, "queries"),
 ]
@@ -115,12 +118,13 @@ class Sources:
 
     def read(self, name: str, raw: DataFrame) -> DataFrame:
         """Run one source's ingestion function on its raw responses."""
-        adapter = self.known[name].adapter
+        source, own = self.known[name], self.of(name)
+        whole = {"max_bytes": None} if source.cuts and own.whole_descriptions else {}
         if name == "serper":
-            return adapter(raw, self.skip_list(), name)
+            return source.adapter(raw, self.skip_list(), name)
         if name == "hackernews":
-            return adapter(raw, self.of(name).require, name)
-        return adapter(raw, name)
+            return source.adapter(raw, own.require, name, **whole)
+        return source.adapter(raw, name, **whole)
 
     def ingest(self, raws: dict[str, DataFrame]) -> DataFrame:
         """Read and unite all enabled sources there is raw data for."""

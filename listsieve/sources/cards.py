@@ -68,7 +68,7 @@ def _texts(card: Column, found: Column) -> Column:
     return F.filter(texts, lambda t: t != "")
 
 
-def full_card(card: Column) -> dict[str, Column]:
+def full_card(card: Column, max_tags: int | None = MAX_TAGS) -> dict[str, Column]:
     """The whole ad is in the card, collapsed; a cut copy is shown."""
     whole = h.text_of(card, h.first(h.find(card, css="js-original-text")))
     cut = h.text_of(card, h.first(h.find(card, css="js-truncated-text")))
@@ -84,16 +84,22 @@ def full_card(card: Column) -> dict[str, Column]:
         "company": _text(card, "span", "small", within=("header", "")),
         "location": remote_suffix(place, h.text_of(card, F.element_at(card, 1))),
         "url": urls.absolute_url(link, FULL_BASE),
-        "tags": F.array_distinct(cap_array(_texts(card, badges), MAX_TAGS)),
+        "tags": F.array_distinct(cap_array(_texts(card, badges), max_tags)),
         "description": description,
         "posted_at": dates.parse_card_stamp(h.first(stamps)),
     }
 
 
-def read_full_cards(raw: DataFrame, name: str = "djinni") -> DataFrame:
-    ads = extract_cards(raw, name, *FULL_CARD, full_card)
+def read_full_cards(
+    raw: DataFrame,
+    name: str = "djinni",
+    max_bytes: int | None = FULL_DESCRIPTION_BYTES,
+    max_tags: int | None = MAX_TAGS,
+) -> DataFrame:
+    """Cards with the whole ad; None for a limit keeps the whole description, or all tags."""
+    ads = extract_cards(raw, name, *FULL_CARD, lambda card: full_card(card, max_tags))
     # On the extracted column: Python functions do not mix with nested lambdas.
-    return ads.withColumn("description", truncate(strip_html("description"), FULL_DESCRIPTION_BYTES))
+    return ads.withColumn("description", truncate(strip_html("description"), max_bytes))
 
 
 def title_card(card: Column) -> dict[str, Column]:
@@ -132,8 +138,14 @@ def _climb(links: DataFrame) -> DataFrame:
     return links.withColumn("outer", F.coalesce(*chosen, F.col(steps[-1])))
 
 
-def read_link_cards(raw: DataFrame, name: str = "justjoin") -> DataFrame:
-    """Title links; the card is an ancestor, and its short texts are the tags."""
+def read_link_cards(
+    raw: DataFrame,
+    name: str = "justjoin",
+    max_tags: int | None = MAX_TAGS,
+    max_tag_bytes: int = MAX_TAG_BYTES,
+) -> DataFrame:
+    """Title links; the card is an ancestor, and its short texts are the tags: at most
+    ``max_tags`` (None: all) of at most ``max_tag_bytes``."""
     links = cards(raw, *LINK_CARD)
     placed = _climb(links).select(
         "page_url",
@@ -149,9 +161,9 @@ def read_link_cards(raw: DataFrame, name: str = "justjoin") -> DataFrame:
         h.find(card), lambda n: n["tag"].isin("div", "span") & n["leaf"]
     )
     tags = F.filter(
-        _texts(card, labels), lambda t: (F.octet_length(t) <= MAX_TAG_BYTES) & ~junk_tag(t)
+        _texts(card, labels), lambda t: (F.octet_length(t) <= max_tag_bytes) & ~junk_tag(t)
     )
-    items = placed.withColumn("tags", F.array_distinct(cap_array(tags, MAX_TAGS)))
+    items = placed.withColumn("tags", F.array_distinct(cap_array(tags, max_tags)))
     ads = finish(
         items,
         name,

@@ -36,7 +36,9 @@ def embedded_pages(raw: DataFrame, name: str = "arcdev") -> DataFrame:
     return _parsed(raw).select(F.lit(name).alias("source"), "page_url", (~is_bad("r")).alias("ok"))
 
 
-def read_embedded_json(raw: DataFrame, name: str = "arcdev") -> DataFrame:
+def read_embedded_json(
+    raw: DataFrame, name: str = "arcdev", max_categories: int | None = MAX_CATEGORIES
+) -> DataFrame:
     """Listings from the page's data script that the hiring area can apply to."""
     parsed = _parsed(raw).filter(~is_bad("r"))
     items = parsed.select("page_url", "seq", F.posexplode("r.props.pageProps.externalJobs"))
@@ -54,7 +56,7 @@ def read_embedded_json(raw: DataFrame, name: str = "arcdev") -> DataFrame:
     names = F.transform(F.col("col.categories.name"), lambda n: F.coalesce(n, F.lit("")))
     kind = text("jobType")
     tags = F.concat(
-        cap_array(texts(names), MAX_CATEGORIES),
+        cap_array(texts(names), max_categories),
         texts(F.col("col.experienceLevels")),
         F.when(kind != "", F.array(kind)).otherwise(F.array().cast("array<string>")),
     )
@@ -85,21 +87,21 @@ def posting_description(body) -> Column:
     return F.try_element_at(postings, F.lit(1))["description"]
 
 
-def extract_jsonld(pages: DataFrame) -> DataFrame:
-    """``(page_url, found, description)`` per page."""
+def extract_jsonld(pages: DataFrame, max_bytes: int | None = POSTING_BYTES) -> DataFrame:
+    """``(page_url, found, description)`` per page; at most ``max_bytes`` of a text, None: all."""
     named = pages.select("page_url", posting_description("body").alias("raw_text"))
     return named.select(
         "page_url",
         F.col("raw_text").isNotNull().alias("found"),
-        F.when(F.col("raw_text").isNotNull(), truncate(strip_html("raw_text"), POSTING_BYTES)).alias(
+        F.when(F.col("raw_text").isNotNull(), truncate(strip_html("raw_text"), max_bytes)).alias(
             "description"
         ),
     )
 
 
-def posting_results(raw: DataFrame) -> DataFrame:
+def posting_results(raw: DataFrame, max_bytes: int | None = POSTING_BYTES) -> DataFrame:
     """Offer pages as page results: the text to verify is the posting's."""
-    found = extract_jsonld(raw)
+    found = extract_jsonld(raw, max_bytes)
     return found.select(
         F.col("page_url").alias("url"),
         F.col("found").alias("success"),

@@ -10,7 +10,7 @@ from listsieve.functions.text import split_company_title, strip_html, truncate
 from listsieve.operators.dedupe import first_wins
 from listsieve.sources.raw import CORRUPT, finish, is_bad, parse_json, parse_json_array, present
 
-FEED_DESCRIPTION_BYTES = 2000
+FEED_DESCRIPTION_BYTES = 2000  # of a description; ``max_bytes=None`` keeps all of it
 
 # ---- Fixed values: the feeds' field names ------------------------------------
 FLAT_FEED_ITEM = (
@@ -37,7 +37,9 @@ def _explode(parsed: DataFrame, items: str) -> DataFrame:
     return parsed.select("page_url", "seq", F.posexplode(items)).filter(F.col("col").isNotNull())
 
 
-def read_json_feed(raw: DataFrame, name: str = "remoteok") -> DataFrame:
+def read_json_feed(
+    raw: DataFrame, name: str = "remoteok", max_bytes: int | None = FEED_DESCRIPTION_BYTES
+) -> DataFrame:
     """A flat JSON array. Elements without title or URL, such as the notice at the
     start, are dropped; repeated URLs are not."""
     parsed = _json_array(raw)
@@ -52,7 +54,7 @@ def read_json_feed(raw: DataFrame, name: str = "remoteok") -> DataFrame:
                 "location": _text("location"),
                 "url": _text("url"),
                 "tags": F.col("col.tags"),
-                "description": truncate(strip_html(_text("description")), FEED_DESCRIPTION_BYTES),
+                "description": truncate(strip_html(_text("description")), max_bytes),
                 "posted_at": dates.parse_rfc3339(F.col("col.date")),
             },
         )
@@ -71,7 +73,9 @@ def _pages(parsed: DataFrame, name: str, ok) -> DataFrame:
     return parsed.select(F.lit(name).alias("source"), "page_url", ok.alias("ok"))
 
 
-def read_nested_json_feed(raw: DataFrame, name: str = "remotive") -> DataFrame:
+def read_nested_json_feed(
+    raw: DataFrame, name: str = "remotive", max_bytes: int | None = FEED_DESCRIPTION_BYTES
+) -> DataFrame:
     """``{"jobs": [...]}`` per category; the job type is one more tag."""
     parsed = raw.withColumn("r", parse_json("body", NESTED_FEED))
     items = _explode(parsed.filter(~is_bad("r")), "r.jobs")
@@ -86,7 +90,7 @@ def read_nested_json_feed(raw: DataFrame, name: str = "remotive") -> DataFrame:
             "location": _text("candidate_required_location"),
             "url": _text("url"),
             "tags": F.when(kind == "", tags).otherwise(F.concat(tags, F.array(kind))),
-            "description": truncate(strip_html(_text("description")), FEED_DESCRIPTION_BYTES),
+            "description": truncate(strip_html(_text("description")), max_bytes),
             "posted_at": dates.parse_zoneless(F.col("col.publication_date")),
         },
     )
@@ -105,7 +109,9 @@ def _rss(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_rss(raw: DataFrame, name: str = "weworkremotely") -> DataFrame:
+def read_rss(
+    raw: DataFrame, name: str = "weworkremotely", max_bytes: int | None = FEED_DESCRIPTION_BYTES
+) -> DataFrame:
     """RSS items titled "Company: Role"."""
     items = _explode(_rss(raw).filter(~is_bad("r")), "r.channel.item")
     company, title = split_company_title(_text("title"))
@@ -117,7 +123,7 @@ def read_rss(raw: DataFrame, name: str = "weworkremotely") -> DataFrame:
             "company": company,
             "location": strip_html(_text("region")),
             "url": _text("link"),
-            "description": truncate(strip_html(_text("description")), FEED_DESCRIPTION_BYTES),
+            "description": truncate(strip_html(_text("description")), max_bytes),
             "posted_at": dates.parse_rfc1123z(F.col("col.pubDate")),
         },
     )

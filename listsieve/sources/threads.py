@@ -66,9 +66,14 @@ def thread_pages(raw: DataFrame, name: str = "hackernews") -> DataFrame:
 
 
 def posts_to_ads(
-    posts: DataFrame, require: str = "", name: str = "hackernews", url_prefix: str = POST_URL
+    posts: DataFrame,
+    require: str = "",
+    name: str = "hackernews",
+    url_prefix: str = POST_URL,
+    max_bytes: int | None = TEXT_BYTES,
 ) -> DataFrame:
-    """Posts to ads: plain text, non-empty, holding ``require``, split by header."""
+    """Posts to ads: plain text, non-empty, holding ``require``, split by header. At most
+    ``max_bytes`` of a text are kept; None: all."""
     plain = settle(posts, {"plain": strip_html("text")})
     kept = plain.filter(
         (F.col("plain") != "") & F.contains(F.lower("plain"), F.lit(require.lower()))
@@ -82,12 +87,14 @@ def posts_to_ads(
             "company": truncate(company, COMPANY_BYTES),
             "location": F.lit(POST_LOCATION),
             "url": F.concat(F.lit(url_prefix), F.col("post_id").cast("string")),
-            "description": truncate("plain", TEXT_BYTES),
+            "description": truncate("plain", max_bytes),
             "posted_at": dates.parse_rfc3339(F.col("created_at")),
         },
     )
 
 
-def thread_to_ads(raw: DataFrame, require: str = "", name: str = "hackernews") -> DataFrame:
+def thread_to_ads(
+    raw: DataFrame, require: str = "", name: str = "hackernews", max_bytes: int | None = TEXT_BYTES
+) -> DataFrame:
     """Raw thread JSON to ads."""
-    return posts_to_ads(thread_posts(raw), require, name)
+    return posts_to_ads(thread_posts(raw), require, name, max_bytes=max_bytes)

@@ -93,6 +93,41 @@ def test_thread(spark):
     assert threads.thread_to_ads(raw(spark, body)).count() == 3
 
 
+def test_whole_descriptions(spark):
+    """Without a limit a text is kept to its end; with one it is cut there."""
+    long = "é" * 3000
+    feed = raw(spark, json.dumps([{"position": "Dev", "url": "u1", "description": long}]))
+    nested = raw(spark, json.dumps({"jobs": [{"title": "Dev", "url": "u1", "description": long}]}))
+    rss = raw(spark, f"<rss><channel><item><title>A: B</title><link>u1</link><description>{long}</description></item></channel></rss>")
+    thread = raw(spark, json.dumps({"id": 1, "children": [{"id": 7, "text": long}]}))
+    card = raw(spark, FULL.replace("Only this", long))
+    readers = [(feeds.read_json_feed, feed), (feeds.read_nested_json_feed, nested), (feeds.read_rss, rss),
+               (threads.thread_to_ads, thread), (cards.read_full_cards, card)]
+    for read, pages in readers:
+        of = lambda **limit: max(values(read(pages, **limit), "description"), key=len)  # noqa: B023, E731
+        assert of(max_bytes=None).startswith(long), read
+        assert of(max_bytes=101) == "é" * 50 + "…" and len(of()) < len(long), read
+    whole = Sources({"remoteok": Settings(whole_descriptions=True)})
+    assert values(whole.read("remoteok", feed), "description") == [long]
+    assert len(values(Sources().read("remoteok", feed), "description")[0]) == 1001
+    page = raw(spark, f'<script type="application/ld+json">{json.dumps({"@type": "JobPosting", "description": long})}</script>')
+    assert values(embedded.extract_jsonld(page, None), "description") == [long]
+    assert len(values(embedded.extract_jsonld(page), "description")[0]) == 1501
+
+
+def test_all_tags(spark):
+    """Without a limit all tags stay."""
+    job = {"title": "Dev", "urlString": "a", "requiredCountries": ["DE"], "categories": [{"name": f"c{i}"} for i in range(20)]}
+    data = json.dumps({"props": {"pageProps": {"externalJobs": [job]}}})
+    page = raw(spark, f'<script id="__NEXT_DATA__" type="application/json">{data}</script>')
+    sizes = [len(values(embedded.read_embedded_json(page, max_categories=n), "tags")[0]) for n in (None, 15, 3)]
+    assert sizes == [20, 15, 3]
+    labels = "".join(f"<span>t{i}</span>" for i in range(20)) + "<span>a label that is too long</span>"
+    link = raw(spark, f'<li><div><h3><a class="offer_list_offer_title_link" href="u">Dev</a></h3></div><p>Acme</p>{labels}</li>')
+    assert len(values(cards.read_link_cards(link), "tags")[0]) == 15
+    assert len(values(cards.read_link_cards(link, max_tags=None, max_tag_bytes=40), "tags")[0]) == 21
+
+
 def test_embedded_json(spark):
     job = {
         "randomKey": "k1", "title": "Dev", "jobType": "permanent", "requiredCountries": ["DE"],

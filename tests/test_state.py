@@ -210,6 +210,9 @@ def test_enrich(spark):
     for url in ("cached", "failed", "late"):
         assert got[url] == (f"t-{url}", "snippet")
     assert values(out.crawled, "url") == ["ok"]
+    for limit, size in ((None, 3 * len("you and the team with skills ") - 1), (10, 11)):
+        cut = enrich(hits, page_table(spark), cache_table(spark), at(T1), 2, order="seq", max_bytes=limit)
+        assert [len(d) for u, d in values(cut.ads, "url", "description") if u == "ok"] == [size]
 
 
 def test_domains(spark):
