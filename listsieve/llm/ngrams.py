@@ -42,7 +42,7 @@ def hashed(points: np.ndarray, owner: np.ndarray, order: int, buckets: int) -> t
     return (mix(total[inside]) & np.uint64(buckets - 1)).astype(np.int64), owner[:n][inside]
 
 
-def pieces(texts: Sequence[str], limit: int = 1 << 19):
+def pieces(texts: Sequence[str], limit: int = 1 << 17):
     """Ranges of texts of at most ``limit`` characters together, or one longer text."""
     start, size = 0, 0
     for i, t in enumerate(texts):
