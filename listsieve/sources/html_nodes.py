@@ -7,9 +7,11 @@ every selection is an expression over arrays that Spark evaluates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,8 @@ CLOSED_BY = {
     "td": {"td", "th", "tr"},
     "th": {"td", "th", "tr"},
 }
+#: Bytes of pages whose nodes lie in a worker at a time.
+SLICE_BYTES = 1_000_000
 # --------------------------------------------------------------------------------
 
 
@@ -118,10 +122,24 @@ def nodes_of(page: str | None) -> list[dict]:
     return parser.nodes
 
 
+def slices(pages: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The pages in order, in runs of at most ``size`` bytes, or a single page of more."""
+    start = held = 0
+    for at, n in enumerate(pc.fill_null(pc.binary_length(pages), 0).to_pylist()):
+        if at > start and held + n > size:
+            yield pages.slice(start, at - start)
+            start, held = at, 0
+        held += n
+    yield pages.slice(start)
+
+
 @F.arrow_udf(T.ArrayType(NODE))
-def html_nodes(pages: pa.Array) -> pa.Array:
-    """The nodes of each page."""
-    return pa.array([nodes_of(page) for page in pages.to_pylist()], _ARROW)
+def html_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The nodes of each page. A page's nodes take far more than its text, so a batch comes back
+    in slices by bytes, however many rows it has."""
+    for pages in batches:
+        for some in slices(pages):
+            yield pa.array([nodes_of(page) for page in some.to_pylist()], _ARROW)
 
 
 # ---- Selection ----------------------------------------------------------------

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import raw, values
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from listsieve import schema as sc
 from listsieve.operators.attribution import attribute_events
 from listsieve.operators.dedupe import first_wins
-from listsieve.sources import cards, embedded, feeds, json_objects, markdown, search, threads
+from listsieve.sources import cards, embedded, feeds, html_nodes, json_objects, markdown, search, threads
 from listsieve.sources import raw as rw
 from listsieve.sources.boards import Settings, Source, Sources, union_sources
 
@@ -215,6 +216,22 @@ def test_link_cards(spark):
     ]
 
 
+def test_page_nodes_come_in_slices_by_bytes(spark):
+    page = "<p>%s</p>" + "<b>x</b>" * 3000
+    bodies = [None if i % 7 == 0 else "" if i % 7 == 1 else page % i for i in range(200)]
+    bodies[100] = "<i>y</i>" * (html_nodes.SLICE_BYTES // 4)  # more than a slice
+    given = list(html_nodes.html_nodes.func(iter([pa.array(bodies[:90]), pa.array(bodies[90:]), pa.array([], pa.string())])))
+    assert sum(len(some) for some in given) == 200 and len(given) > 4
+    at = 0
+    for some in given:
+        own, at = bodies[at : at + len(some)], at + len(some)
+        assert len(own) <= 1 or sum(len(b or "") for b in own) <= html_nodes.SLICE_BYTES
+        assert [len(nodes) for nodes in some] == [len(html_nodes.nodes_of(b)) for b in own]
+    pages = raw(spark, *bodies).coalesce(1).select("seq", html_nodes.html_nodes("body").alias("nodes"))
+    got = dict(values(pages, "seq", F.try_element_at("nodes", F.lit(4))["text"]))
+    assert got == {i: "y" if i == 100 else str(i) if b else None for i, b in enumerate(bodies)}
+
+
 def test_markdown(spark):
     def skill(name, host="jobs"):
         return f"![{name}](https://static.{host}.bg/mobile/images/skills/x.png?v=1)"
