@@ -36,11 +36,14 @@ _NEVER = np.iinfo(np.int64).min
 def collapse(seen: pd.DataFrame) -> pd.DataFrame:
     """One row per id of rows of that shape. Of several first sightings one hidden is enough; of
     several statuses at the last time the greatest counts."""
-    first = seen["first_us"] == seen.groupby("id")["first_us"].transform("min")
-    told = seen.sort_values(["status_us", "status"], kind="stable", na_position="first").groupby("id").last()
+    seen = seen[seen["id"].notna()]
     out = seen.groupby("id").agg(first_us=("first_us", "min"), last_us=("last_us", "max"), hidden=("hidden", "any"))
+    first = seen["first_us"].to_numpy() == out["first_us"].loc[seen["id"]].to_numpy()
     out["first_hidden"] = seen[first].groupby("id")["first_hidden"].any()
-    out["status"], out["status_us"] = told["status"], told["status_us"]
+    told = seen.loc[seen["status"].notna(), ["id", "status", "status_us"]]
+    told = told.sort_values(["status_us", "status"]).drop_duplicates("id", keep="last").set_index("id")
+    out["status"] = told["status"]
+    out["status_us"] = told["status_us"].reindex(out.index, fill_value=_NEVER)
     return out.reset_index()[_NAMES]
 
 
@@ -50,8 +53,27 @@ def _collapsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield collapse(batch)
 
 
-def _time(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us, unit="us")
+class Seen:
+    """What ``collapse`` says of one id, taken in batch by batch. An id has few rows and there are
+    very many ids, so it goes over plain values: grouping a frame costs far more than these."""
+
+    def __init__(self):
+        self.first_us = self.last_us = self.status = None
+        self.first_hidden = self.hidden = False
+        self.status_us = _NEVER
+
+    def take(self, batch: pd.DataFrame) -> None:
+        columns = [batch[name].tolist() for name in _NAMES[1:]]
+        for first, last, first_hidden, hidden, status, status_us in zip(*columns):
+            if self.first_us is None or first < self.first_us:
+                self.first_us, self.first_hidden = first, first_hidden
+            elif first == self.first_us:
+                self.first_hidden = self.first_hidden or first_hidden
+            if self.last_us is None or last > self.last_us:
+                self.last_us = last
+            self.hidden = self.hidden or hidden
+            if status is not None and (self.status is None or (status_us, status) > (self.status_us, self.status)):
+                self.status, self.status_us = status, status_us
 
 
 def _merged(keep_us: int):
@@ -62,20 +84,18 @@ def _merged(keep_us: int):
             if not state.get[3]:
                 state.remove()
             return
-        now = None
+        seen = Seen()
         for batch in batches:  # an id's rows, few as they are collapsed; never held together
-            batch = batch[_NAMES]
-            now = collapse(batch if now is None else pd.concat([now, batch]))
-        seen = now.iloc[0]
+            seen.take(batch)
         first, last, hidden, status, status_us = state.get if state.exists else (None, None, False, "", _NEVER)
         if first is not None and not status and seen.first_us - last > keep_us:
             first, hidden, status_us = None, False, _NEVER  # gone stale before
         new = first is None
-        first = int(seen.first_us) if new else min(first, int(seen.first_us))
-        last = int(seen.last_us) if new else max(last, int(seen.last_us))
-        hidden = bool(hidden or seen.hidden)
+        first = seen.first_us if new else min(first, seen.first_us)
+        last = seen.last_us if new else max(last, seen.last_us)
+        hidden = hidden or seen.hidden
         if seen.status is not None and seen.status_us >= status_us:
-            status, status_us = seen.status, int(seen.status_us)
+            status, status_us = seen.status, seen.status_us
         state.update((first, last, hidden, status, status_us))
         expiry = (last + keep_us) // 1000 + 1
         if not status and expiry > state.getCurrentWatermarkMs():
@@ -84,11 +104,11 @@ def _merged(keep_us: int):
         yield pd.DataFrame(
             {
                 "id": [key[0]],
-                "first_seen": [_time(first)],
-                "last_seen": [_time(last)],
+                "first_seen": np.array([first], "datetime64[us]"),
+                "last_seen": np.array([last], "datetime64[us]"),
                 "hidden": [hidden],
                 "status": [status],
-                "fresh": [bool(fresh)],
+                "fresh": [fresh],
             }
         )
 

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 from helpers import values
 from pyspark.sql import functions as F
 
@@ -225,6 +226,42 @@ def test_keyed_state_does_not_depend_on_order(spark, tmp_path, monkeypatch):
         assert fresh != any(h for t, h, _ in own if t == min(times))
 
 
+def test_plain_values_say_what_collapsed_frames_say():
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        us, hidden = rng.randint(0, 20), rng.random() < 0.3
+        status = rng.choice([None, None, "", "applied", "declined"])
+        never = keyed_state._NEVER
+        rows.append((rng.choice(["a", "b", "c", None]), us, us, hidden, hidden, status, never if status is None else us))
+    rows += [("bare", 2**60 + 1, 2**60 + 1, False, False, None, keyed_state._NEVER)]
+    seen = pd.DataFrame(rows, columns=keyed_state._NAMES)
+    whole = keyed_state.collapse(seen).set_index("id")
+    assert sorted(whole.index) == ["a", "b", "bare", "c"]  # none without an id
+    for id_, own in seen.groupby("id"):
+        one = keyed_state.Seen()
+        for k in range(0, len(own), 7):
+            one.take(keyed_state.collapse(own[k : k + 7]).astype({"status": object}).replace({"status": {float("nan"): None}}))
+        first, last = own["first_us"].min(), own["last_us"].max()
+        told = max(((us, s) for us, s in zip(own["status_us"], own["status"]) if s is not None), default=(keyed_state._NEVER, None))
+        expected = (first, last, own[own["first_us"] == first]["first_hidden"].any(), own["hidden"].any(), told[1], told[0])
+        assert (one.first_us, one.last_us, one.first_hidden, one.hidden, one.status, one.status_us) == expected
+        got = whole.loc[id_]
+        assert (got.first_us, got.last_us, got.first_hidden, got.hidden, got.status_us) == (*expected[:4], expected[5])
+        assert got.status == told[1] or (pd.isna(got.status) and told[1] is None)
+    nobody = keyed_state.collapse(seen[seen["id"].isna()])
+    assert len(nobody) == 0 and list(nobody.columns) == keyed_state._NAMES
+
+
+def test_keyed_state_drops_rows_without_an_id(spark, tmp_path):
+    source = stream_of(
+        spark, tmp_path / "in", [(None, "2026-01-01 00:00:00", False, "applied")],
+        [(None, "2026-01-02 00:00:00", False, None), ("a", "2026-01-02 00:00:00", False, None)],
+    )
+    run_to_table(keyed_state.stateful_merge(source), tmp_path / "cp", "named")
+    assert values(spark.table("named"), "id", "status", "fresh") == [("a", "", True)]
+
+
 def test_first_sightings(spark, tmp_path):
     source = stream_of(
         spark, tmp_path / "in",
