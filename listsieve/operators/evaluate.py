@@ -80,6 +80,14 @@ def matched(evaluated: DataFrame) -> DataFrame:
     return evaluated.filter("keep").drop("keep", "reject_reason")
 
 
+def without_rejected(evaluated: DataFrame) -> DataFrame:
+    """The evaluated rows as they are stored: rejected ones are only counted from here on, so of
+    them nothing but source and verdict is kept."""
+    counted = ("source", "keep", "reject_reason")
+    texts = [c for c in evaluated.columns if c not in counted]
+    return evaluated.withColumns({c: F.when(F.col("keep"), F.col(c)) for c in texts})
+
+
 def language_votes(
     df: DataFrame, text: str, keep, lexicon: lx.Lexicon = lx.DEFAULT_LEXICON
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from listsieve import schema as sc
 from listsieve.functions import lexicon as lx
 from listsieve.operators.enrich import DESCRIPTION_BYTES, enrich, update_crawled, verify
-from listsieve.operators.evaluate import evaluate, matched, purge, run_metrics
+from listsieve.operators.evaluate import evaluate, matched, purge, run_metrics, without_rejected
 from listsieve.operators.merge import hidden_keys, merge_fresh, merge_state, prepare
 from listsieve.operators.views import digest
 from listsieve.plans.runtime import cut_lineage
@@ -88,13 +88,7 @@ def run_once(
         new_cache = new_cache.unionByName(hits.crawled)
 
     evaluated = evaluate(ads, profile, lexicon)
-    slim = [c for c in evaluated.columns if c not in ("keep", "reject_reason")]
-    stored = cut_lineage(
-        # Rejected rows are only counted from here on: their texts are not stored.
-        evaluated.withColumns(
-            {c: F.when(F.col("keep"), F.col(c)) for c in slim if c != "source"}
-        )
-    )
+    stored = cut_lineage(without_rejected(evaluated))
     batch_rows = matched(stored)
     verification = None
     if pages is not None and limits:

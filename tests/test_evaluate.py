@@ -9,8 +9,18 @@ from pyspark.sql import functions as F
 from listsieve import Bonus, Geography, Keyword, Profile
 from listsieve.functions.language import language_excluded
 from listsieve.functions.lexicon import DEFAULT_LEXICON
-from listsieve.operators.evaluate import evaluate, language_votes, purge, reject_funnel, run_metrics
+from listsieve.operators.evaluate import (
+    evaluate,
+    language_votes,
+    matched,
+    purge,
+    reject_funnel,
+    run_metrics,
+    without_rejected,
+)
+from listsieve.operators.merge import merge_fresh
 from listsieve.operators.score_terms import score_token_join
+from listsieve.plans import queries
 
 PROFILE = Profile(
     keywords=(Keyword("rust", 4), Keyword("tokio", 5), Keyword("c++", 3), Keyword("bash", 0), Keyword("cobol", -3)),
@@ -193,3 +203,34 @@ def test_terms_of_all_kinds_against_their_regex(spark):
             if hits:
                 want[i] = (sum(k + 1 for k in hits), [names[k] for k in hits])
         assert got == want
+
+
+def test_source_metrics_evaluate_each_ad_once(spark, tmp_path, monkeypatch):
+    rows = [
+        (i, ["Go only les, the, die", "nicht", "the thea only attion und europe", None][i % 4] + f". Text {i}" if i % 4 < 3 else None, "en", f"s{i % 3}")
+        for i in range(240)
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"R{i}") for i in range(3)], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    plain = evaluate(queries.fx.ads(spark, tmp_path), queries.fx.PROFILE)
+    fresh = merge_fresh(queries.fx.state(spark, tmp_path, before_batch=True), matched(plain), queries.fx.NOW, order="seq")
+    expected = sorted(run_metrics(plain, fresh).collect())
+    assert any(r.matched > r.new > 0 for r in expected)
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(queries, "evaluate", lambda ads, profile: evaluate(ads.withColumn("description", counted("description")), profile))
+    assert sorted(queries.source_metrics(spark, tmp_path).collect()) == expected
+    assert seen.value == len(rows)
+
+
+def test_rejected_rows_keep_source_and_verdict(spark):
+    shape = "source string, description string, keep boolean, reject_reason string"
+    done = spark.createDataFrame([("a", "x", True, None), ("b", "y", False, "score"), (None, None, False, "title")], shape)
+    got = values(without_rejected(done), *done.columns)
+    assert got == [("a", "x", True, None), ("b", None, False, "score"), (None, None, False, "title")]
