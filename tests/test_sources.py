@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -232,6 +233,22 @@ def test_page_nodes_come_in_slices_by_bytes(spark):
     assert got == {i: "y" if i == 100 else str(i) if b else None for i, b in enumerate(bodies)}
 
 
+def test_nodes_of_title_pages_do_not_pile_up():
+    card = '<div class="job-list-item"><a class="overlay-link" href="/%d"></a><h6 class="job-title">Dev</h6></div>'
+    pages = pa.array(["".join(card % i for i in range(n, n + 100)) for n in range(500)])
+
+    def peak(count):
+        tracemalloc.start()
+        for some in html_nodes.html_nodes.func(iter([pages[:count]])):
+            assert len(some[0]) == 2 + 100 * 4
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert pages[:200].nbytes > 1.5 * html_nodes.SLICE_BYTES
+    assert peak(500) < 1.3 * peak(200)
+
+
 def test_markdown(spark):
     def skill(name, host="jobs"):
         return f"![{name}](https://static.{host}.bg/mobile/images/skills/x.png?v=1)"
